@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import shards, url_rules
+from . import bpe, shards, url_rules
 from .common import read
 
 #: The rules of op3 (verdict, host, path).
@@ -40,5 +41,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op3_url_filters": OP3_SQL}
