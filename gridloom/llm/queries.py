@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, secrets_scan, shards, url_rules
+from . import bpe, decontaminate, pii, quality, secrets_scan, shards, toxicity, url_rules
 from .common import read
 
 #: The rules of op3 (verdict, host, path).
@@ -78,5 +78,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan_secrets(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_secret_scan": op6_secret_scan, "op2_byte_bpe": op2_byte_bpe, "op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_on_sample(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op9_toxicity": op9_toxicity, "op8_quality_rules": op8_quality_rules, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_secret_scan": op6_secret_scan, "op2_byte_bpe": op2_byte_bpe, "op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL}
