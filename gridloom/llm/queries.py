@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, secrets_scan, shards, toxicity, url_rules
+from . import bpe, decontaminate, pii, quality, secrets_scan, shards, substrings, toxicity, url_rules
 from .common import read
 
 #: The rules of op3 (verdict, host, path).
@@ -88,5 +88,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_on_sample(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op8_quality_rules": op8_quality_rules, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_secret_scan": op6_secret_scan, "op2_byte_bpe": op2_byte_bpe, "op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
-ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL}
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(read(spark, sf_dir, "documents"), digests=True)
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM r),
+t AS (SELECT d.doc_id, p, w[p] AS x, c.p IS NOT NULL AS gone FROM (SELECT *, unnest(generate_series(1, len(w))) AS p FROM d) d LEFT JOIN c USING (doc_id, p)),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM t GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op9_toxicity": op9_toxicity, "op8_quality_rules": op8_quality_rules, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_secret_scan": op6_secret_scan, "op2_byte_bpe": op2_byte_bpe, "op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL}
