@@ -195,8 +195,8 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row for each record: id_col, n_tokens, ids (little-endian 32-bit) and decoded, or their SHA-256 with ``digests``.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, decode: bool = True) -> DataFrame:
+    """One row for each record: id_col, n_tokens, ids (little-endian 32-bit) and, with ``decode``, decoded; or their SHA-256 with ``digests``.
 
     Null texts encode as empty ones: no tokens. Null ids stay null, repeated
     rows stay repeated, an empty table gives an empty result and other columns
@@ -217,7 +217,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     out["ids"] = [hashlib.sha256(x).hexdigest() for x in ids]
                     out["decoded"] = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
                 else:
-                    out["ids"], out["decoded"] = ids, [codec.decode(x) for x in ids]
+                    out["ids"], out["decoded"] = ids, [codec.decode(x) if decode else None for x in ids]
                 yield pd.DataFrame(out)
 
     kind = "string" if digests else "binary"
@@ -225,4 +225,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     done = rows.mapInPandas(run, f"i string, n_tokens long, ids {kind}, decoded {kind}")
     a, b = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    return done.select(F.col("i").cast(id_type).alias(id_col), "n_tokens", F.col("ids").alias(a), F.col("decoded").alias(b))
+    return done.select(F.col("i").cast(id_type).alias(id_col), "n_tokens", F.col("ids").alias(a), *[F.col("decoded").alias(b)] * decode)

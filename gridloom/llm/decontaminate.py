@@ -14,11 +14,12 @@ whatever the number of items; documents stream past without a shuffle.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +138,49 @@ class Items:
         return p - left, p + right
 
 
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
+    """The items in blocks of at most block_words words (or one longer item)."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("n"), F.col(item_text_col).cast("string").alias("t")).where("n is not null and t is not null")
+    blocks: list[list[tuple[str, str]]] = []
+    room = 0
+    for r in items.toLocalIterator():  # a block at a time; each stays below block_words
+        size = r["t"].count(" ") + 1
+        if room < size:
+            blocks.append([])
+            room = block_words
+        blocks[-1].append((r["n"], r["t"]))
+        room -= size
+    return [benchmark.sparkSession.sparkContext.broadcast(b) for b in blocks]
+
+
+class Judge:
+    """Judges texts against all blocks: (words, words hit, sorted item ids, contaminated)."""
+
+    def __init__(self, blocks: list[Broadcast], percent: int):
+        self.blocks, self.percent = blocks, percent
+        self.hashes = WordHashes()
+        self.index: dict[int, Items] = {}
+
+    def __call__(self, texts: Iterable) -> list[tuple[int, int, list[str], bool]]:
+        raw = [self.hashes.of(words_of(t)) if isinstance(t, str) else np.zeros(0, np.uint64) for t in texts]
+        hit = [np.zeros(len(h), bool) for h in raw]
+        found: list[set[str]] = [set() for _ in raw]
+        for b, block in enumerate(self.blocks):
+            if b not in self.index:
+                self.index.clear()  # one block at a time
+                self.index[b] = Items(block.value)
+            part = self.index[b]
+            for i, h in enumerate(raw):
+                got, names = part.hits(h)
+                hit[i] |= got
+                found[i].update(part.ids[n] for n in names)
+        out = []
+        for h, got, names in zip(raw, hit, found):
+            m = int(got.sum())
+            out.append((len(h), m, sorted(names), m > 0 and 100 * m >= self.percent * len(h)))
+        return out
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     percent: int = 5, block_words: int = BLOCK_WORDS,
@@ -151,42 +195,32 @@ def decontaminate(
     null, repeated rows stay repeated, an empty table on either side gives zero
     hits, other columns are ignored, texts are read whole.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("n"), F.col(item_text_col).cast("string").alias("t")).where("n is not null and t is not null")
-    blocks: list[list[tuple[str, str]]] = []
-    room = 0
-    for r in items.toLocalIterator():  # a block at a time; each stays below block_words
-        size = r["t"].count(" ") + 1
-        if room < size:
-            blocks.append([])
-            room = block_words
-        blocks[-1].append((r["n"], r["t"]))
-        room -= size
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    shared = item_blocks(benchmark, item_col, item_text_col, block_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        index: dict[int, Items] = {}
+        judge = Judge(shared, percent)
         for pdf in batches:
-            raw = [hashes.of(words_of(t)) if isinstance(t, str) else np.zeros(0, np.uint64) for t in pdf["t"]]
-            hit = [np.zeros(len(h), bool) for h in raw]
-            found: list[set[str]] = [set() for _ in raw]
-            for b, block in enumerate(shared):
-                if b not in index:
-                    if len(shared) > 1:
-                        index.clear()
-                    index[b] = Items(block.value)
-                part = index[b]
-                for i, h in enumerate(raw):
-                    got, names = part.hits(h)
-                    hit[i] |= got
-                    found[i].update(part.ids[n] for n in names)
             rows = []
-            for i, h, got, names in zip(pdf["i"], raw, hit, found):
-                n, m, names = len(h), int(got.sum()), sorted(names)
-                rows.append((i, n, m, len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), m > 0 and 100 * m >= percent * n))
+            for i, (n, m, names, bad) in zip(pdf["i"], judge(pdf["t"])):
+                rows.append((i, n, m, len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), bad))
             yield pd.DataFrame(rows, columns=["i", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     out = rows.mapInPandas(run, "i string, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
     return out.select(F.col("i").cast(kind).alias(id_col), *out.columns[1:])
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    percent: int = 5, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The records that are not contaminated, with all their columns; null and empty texts stay."""
+    shared = item_blocks(benchmark, item_col, item_text_col, block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(shared, percent)
+        for batch in batches:
+            yield batch.filter(pa.array([not bad for _, _, _, bad in judge(batch.column(text_col).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -352,3 +353,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     out = rows.mapInPandas(run, "i string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string")
     return out.select(F.col("i").cast(kind).alias(id_col), *out.columns[1:])
+
+
+def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", field: Field | None = None) -> DataFrame:
+    """All records and columns, personal data in the text replaced, and the length column, if there is one, counted anew."""
+    if field is None:
+        field = fit_field(sample_texts(docs, id_col, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else redacted(t, all_spans(t, field)[1]) for t in batch.column(text_col).to_pylist()]
+            columns = dict(zip(batch.schema.names, batch.columns))
+            columns[text_col] = pa.array(texts, batch.schema.field(text_col).type)
+            if length_col in columns:
+                was = columns[length_col].to_pylist()
+                columns[length_col] = pa.array([n if t is None else len(t) for t, n in zip(texts, was)], batch.schema.field(length_col).type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, secrets_scan, shards, substrings, toxicity, url_rules
+from . import bpe, decontaminate, jaccard, pii, quality, secrets_scan, shards, substrings, toxicity, url_rules
 from .common import read
 
 #: The rules of op3 (verdict, host, path).
@@ -78,6 +78,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.quality(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels")))
@@ -103,5 +107,5 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 """
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op9_toxicity": op9_toxicity, "op8_quality_rules": op8_quality_rules, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_secret_scan": op6_secret_scan, "op2_byte_bpe": op2_byte_bpe, "op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
+QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op9_toxicity": op9_toxicity, "op8_quality_rules": op8_quality_rules, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_secret_scan": op6_secret_scan, "op2_byte_bpe": op2_byte_bpe, "op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
 ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL}
