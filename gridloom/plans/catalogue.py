@@ -2,5 +2,388 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.boxes import EPSILON, area, box, center_distance2, expansion, literal_box, margin, node_capacity, overlap_area, to_wkt, union
+from ..functions.predicates import Predicate
+from ..operators import oplog, packing, selection, traces, workloads
+from ..sources import datasets
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The boxes of each dataset in SQL.
+SQL_DATA = {
+    "part_pts": "SELECT p_partkey::BIGINT AS id, p_size::DOUBLE AS xmin, p_retailprice AS ymin, p_size::DOUBLE AS xmax, p_retailprice AS ymax FROM part",
+    "cust_pts": "SELECT c_custkey AS id, c_nationkey::DOUBLE AS xmin, c_acctbal AS ymin, c_nationkey::DOUBLE AS xmax, c_acctbal AS ymax FROM customer",
+    "order_pts": "SELECT o_orderkey AS id, o_custkey::DOUBLE AS xmin, o_totalprice AS ymin, o_custkey::DOUBLE AS xmax, o_totalprice AS ymax FROM orders",
+    "order_rects": "SELECT o_orderkey AS id, o_custkey::DOUBLE AS xmin, o_totalprice AS ymin, (o_custkey + 1 + o_orderkey % 7)::DOUBLE AS xmax, o_totalprice + 10 * (1 + o_orderkey % 11) AS ymax FROM orders",
+    "emb_pts": "SELECT vec_id AS id, embedding[1]::DOUBLE AS xmin, embedding[2]::DOUBLE AS ymin, embedding[1]::DOUBLE AS xmax, embedding[2]::DOUBLE AS ymax FROM embeddings",
+    "event_pts": "SELECT event_id AS id, user_id::DOUBLE AS xmin, value AS ymin, user_id::DOUBLE AS xmax, value AS ymax FROM events",
+}
+
+#: Windows over the orders' rectangles: an edge touch, a point, a line, one apart, one around all, and ordinary ones.
+WINDOWS = [
+    (1, 100, 50000, 300, 150000), (2, 10, 100000, 20, 101000), (3, 500, 200000, 900, 200500), (4, 50, 60000, 50, 60000), (5, 700, 90000, 700, 240000),
+    (6, -100, -100, -50, -50), (7, -10, -10, 1e6, 1e7), (8, 0, 120000, 100.00002, 130000), (9, 250.000005, 1000, 260, 90000), (10, 1, 1, 2, 500000),
+]
+PART_WINDOW = (10.0, 920.0, 30.0, 960.0)
+ORDER_WINDOW = (100.0, 100000.0, 300.0, 180000.0)
+
+
+def _both(test: str, a: str = "q", b: str = "o") -> str:
+    """A test in both dimensions; {a0} {a1} {b0} {b1} stand for the ends."""
+    return " AND ".join("(" + test.format(a0=f"{a}{d}min", a1=f"{a}{d}max", b0=f"{b}{d}min", b1=f"{b}{d}max") + ")" for d in "xy")
+
+
+def sql_box(p: Predicate, a: str, b: str, e: float = EPSILON) -> str:
+    P = Predicate
+    match p:
+        case P.INTERSECTS:
+            return _both(f"NOT (({{b0}} - {{a1}} > {e}) OR ({{a0}} - {{b1}} > {e}))", a, b)
+        case P.INSIDE:
+            return _both(f"({{a0}} - {{b0}} > {e}) AND ({{b1}} - {{a1}} > {e})", a, b)
+        case P.INSIDE_OR_COVEREDBY:
+            return _both(f"({{b0}} - {{a0}} <= {e}) AND ({{a1}} - {{b1}} <= {e})", a, b)
+        case P.COVEREDBY:
+            return sql_box(P.INSIDE_OR_COVEREDBY, a, b, e) + " AND " + _both(f"(abs({{a0}} - {{b0}}) <= {e}) OR (abs({{a1}} - {{b1}}) <= {e})", a, b)
+        case P.CONTAINS:
+            return sql_box(P.INSIDE, b, a, e)
+        case P.COVERS:
+            return sql_box(P.COVEREDBY, b, a, e)
+        case P.EQUAL:
+            return _both(f"(abs({{a0}} - {{b0}}) <= {e}) AND (abs({{a1}} - {{b1}}) <= {e})", a, b)
+    raise ValueError(p)
+
+
+def sql_exact(p: Predicate, a: str, b: str) -> str:
+    P = Predicate
+    touch = _both("({a0} <= {b1}) AND ({b0} <= {a1})", a, b)
+    inner = _both(
+        "CASE WHEN {a0} < {a1} AND {b0} < {b1} THEN greatest({a0}, {b0}) < least({a1}, {b1}) WHEN {a0} < {a1} THEN {a0} < {b0} AND {b0} < {a1} WHEN {b0} < {b1} THEN {b0} < {a0} AND {a0} < {b1} ELSE {a0} = {b0} END", a, b
+    )
+    cover = lambda u, v: _both("({b0} <= {a0}) AND ({a1} <= {b1})", u, v)
+    match p:
+        case P.INTERSECTS:
+            return touch
+        case P.DISJOINT:
+            return f"NOT ({touch})"
+        case P.MEET:
+            return f"({touch}) AND NOT ({inner})"
+        case P.COVEREDBY:
+            return cover(a, b)
+        case P.COVERS:
+            return cover(b, a)
+        case P.INSIDE:
+            return _both("(({b0} < {a0}) AND ({a1} < {b1})) OR ({b0} = {b1} AND {a0} = {b0} AND {a1} = {b1})", a, b)
+        case P.CONTAINS:
+            return sql_exact(P.INSIDE, b, a)
+        case P.EQUAL:
+            return _both("({a0} = {b0}) AND ({a1} = {b1})", a, b)
+        case P.OVERLAP:
+            return _both("({a0} < {a1}) = ({b0} < {b1})", a, b) + f" AND ({inner}) AND NOT ({cover(a, b)}) AND NOT ({cover(b, a)})"
+    raise ValueError(p)
+
+
+def _window_sql(w: tuple) -> str:
+    return "SELECT " + ", ".join(f"{float(v)!r}::DOUBLE AS q{c}" for c, v in zip(("xmin", "ymin", "xmax", "ymax"), w))
+
+
+def _objects_sql(data: str) -> str:
+    return f"SELECT id, xmin AS oxmin, ymin AS oymin, xmax AS oxmax, ymax AS oymax FROM ({SQL_DATA[data]})"
+
+
+def _add_selection(name: str, data: str, kind: selection.QueryType, window: tuple, p: Predicate, option: selection.Option = selection.Option.FILTER_AND_REFINE) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return selection.spatial_query(datasets.load(spark, folder, data), kind, window, p, option).select("id")
+
+    P = Predicate
+    filt = {P.OVERLAP: P.INTERSECTS, P.MEET: P.INTERSECTS, P.DISJOINT: P.INTERSECTS, P.INSIDE: P.INSIDE_OR_COVEREDBY, P.COVEREDBY: P.INSIDE_OR_COVEREDBY}.get(p, p)
+    if option == selection.Option.FILTER_ONLY or (kind == selection.QueryType.RANGE and p in (P.CONTAINS, P.COVERS)):
+        test = sql_box(filt, "q", "o")
+    else:
+        test = sql_exact(p, "q", "o")
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT id FROM ({_objects_sql(data)}), ({_window_sql(window)}) WHERE {test}"
+
+
+for _p in list(Predicate)[:9]:
+    _add_selection(f"range_{_p.name.lower()}", "order_rects", selection.QueryType.RANGE, ORDER_WINDOW, _p)
+    _add_selection(f"select_{_p.name.lower()}", "order_rects", selection.QueryType.SELECTION, ORDER_WINDOW, _p)
+    _add_selection(f"filter_{_p.name.lower()}", "order_rects", selection.QueryType.SELECTION, ORDER_WINDOW, _p, selection.Option.FILTER_ONLY)
+for _p in (Predicate.INTERSECTS, Predicate.MEET, Predicate.INSIDE, Predicate.COVEREDBY, Predicate.DISJOINT, Predicate.EQUAL):
+    _add_selection(f"point_{_p.name.lower()}", "part_pts", selection.QueryType.POINT, (20.0, 950.0, 20.0, 950.0), _p)
+_add_selection("range_points_intersects", "part_pts", selection.QueryType.RANGE, PART_WINDOW, Predicate.INTERSECTS)
+_add_selection("range_points_contains", "part_pts", selection.QueryType.RANGE, PART_WINDOW, Predicate.CONTAINS)
+_add_selection("range_events", "event_pts", selection.QueryType.RANGE, (20.0, 50.0, 60.0, 100.0), Predicate.INTERSECTS)
+_add_selection("range_customers", "cust_pts", selection.QueryType.RANGE, (3.0, 0.0, 12.0, 5000.0), Predicate.CONTAINS)
+_add_selection("range_embeddings", "emb_pts", selection.QueryType.RANGE, (-0.1, -0.1, 0.1, 0.1), Predicate.INTERSECTS)
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+_Q = "SELECT * FROM (VALUES " + ", ".join(f"({q}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in b) + ")" for q, *b in WINDOWS) + ") t(qid, qxmin, qymin, qxmax, qymax)"
+
+
+def _add_batch(p: Predicate) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return selection.batch_query(datasets.load(spark, folder, "order_rects"), workloads.windows(spark, WINDOWS), p)
+
+    QUERIES[f"range_{p.name.lower()}_batch"] = run
+    ORACLE_SQL[f"range_{p.name.lower()}_batch"] = f"SELECT qid, id FROM ({_objects_sql('order_rects')}), ({_Q}) WHERE {sql_exact(p, 'q', 'o')}"
+
+
+for _p in (Predicate.INTERSECTS, Predicate.OVERLAP, Predicate.MEET, Predicate.COVEREDBY, Predicate.INSIDE):
+    _add_batch(_p)
+
+_COUNTS = f"""SELECT qid, (SELECT count(*) FROM ({_objects_sql('order_rects')}) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}) AS cand_num,
+  (SELECT count(*) FROM ({_objects_sql('order_rects')}) WHERE {sql_exact(Predicate.INTERSECTS, 'q', 'o')}) AS result_num FROM ({_Q})"""
+
+
+@query("query_counts", _COUNTS)
+def query_counts(spark, folder):
+    return workloads.measured_counts(datasets.load(spark, folder, "order_rects"), workloads.windows(spark, WINDOWS))
+
+
+@query("execution_summary", f"""SELECT execution_name, count(*) AS runs, round(avg(cand_num), 6) AS avg_cand, round(stddev_samp(cand_num), 6) AS std_cand, round(avg(result_num), 6) AS avg_result, round(stddev_samp(result_num), 6) AS std_result
+FROM (SELECT CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS execution_name, cand_num, result_num FROM ({_COUNTS})) GROUP BY 1""")
+def execution_summary(spark, folder):
+    runs = query_counts(spark, folder).withColumn("execution_name", F.when(F.col("qid") % 2 == 0, "even").otherwise("odd"))
+    return workloads.summaries(runs).withColumns({c: F.round(c, 6) for c in ("avg_cand", "std_cand", "avg_result", "std_result")})
+
+
+@query("complement_fetch", f"SELECT id FROM ({_objects_sql('order_rects')}), ({_window_sql(ORDER_WINDOW)}) WHERE NOT ({sql_exact(Predicate.INTERSECTS, 'q', 'o')})")
+def complement_fetch(spark, folder):
+    data = datasets.load(spark, folder, "order_rects")
+    found = selection.spatial_query(data, selection.QueryType.SELECTION, ORDER_WINDOW, Predicate.INTERSECTS)
+    return selection.complement(data, found).select("id")
+
+
+@query("candidate_fetch", f"SELECT o.* FROM ({SQL_DATA['order_rects']}) o WHERE id IN (SELECT id FROM ({_objects_sql('order_rects')}), ({_window_sql(ORDER_WINDOW)}) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')})")
+def candidate_fetch(spark, folder):
+    data = datasets.load(spark, folder, "order_rects")
+    return selection.fetch(data, selection.candidates(data, literal_box(*ORDER_WINDOW), Predicate.INTERSECTS))
+
+
+@query("dataset_extent", f"SELECT count(*) AS objects, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, round(sum((xmax - xmin) * (ymax - ymin)), 2) AS area FROM ({SQL_DATA['order_rects']})")
+def dataset_extent(spark, folder):
+    return selection.covered_area(datasets.load(spark, folder, "order_rects")).withColumn("area", F.round("area", 2))
+
+
+@query("box_measures", f"""SELECT id, (xmax - xmin) * (ymax - ymin) AS area, (xmax - xmin) + (ymax - ymin) AS margin,
+  (greatest(xmax, 300.0) - least(xmin, 100.0)) * (greatest(ymax, 180000.0) - least(ymin, 100000.0)) AS union_area,
+  (greatest(xmax, 300.0) - least(xmin, 100.0)) * (greatest(ymax, 180000.0) - least(ymin, 100000.0)) - 200.0 * 80000.0 AS expansion,
+  CASE WHEN least(xmax, 300.0) > greatest(xmin, 100.0) AND least(ymax, 180000.0) > greatest(ymin, 100000.0)
+    THEN (least(xmax, 300.0) - greatest(xmin, 100.0)) * (least(ymax, 180000.0) - greatest(ymin, 100000.0)) ELSE 0.0 END AS overlap,
+  ((xmin + xmax) / 2 - 200.0) * ((xmin + xmax) / 2 - 200.0) + ((ymin + ymax) / 2 - 140000.0) * ((ymin + ymax) / 2 - 140000.0) AS distance2
+FROM ({SQL_DATA['order_rects']})""")
+def box_measures(spark, folder):
+    b, w = box(), literal_box(*ORDER_WINDOW)
+    return datasets.load(spark, folder, "order_rects").select(
+        "id", area(b).alias("area"), margin(b).alias("margin"), area(union(b, w)).alias("union_area"), expansion(w, b).alias("expansion"),
+        overlap_area(b, w).alias("overlap"), center_distance2(b, w).alias("distance2"),
+    )
+
+
+@query("box_geometry_kinds", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN xmin = xmax AND ymin = ymax THEN 'POINT' WHEN xmin = xmax OR ymin = ymax THEN 'LINESTRING' ELSE 'POLYGON' END AS kind FROM ({SQL_DATA['order_rects']} UNION ALL {SQL_DATA['part_pts']})) GROUP BY kind")
+def box_geometry_kinds(spark, folder):
+    both = datasets.load(spark, folder, "order_rects").unionByName(datasets.load(spark, folder, "part_pts"))
+    return both.select(F.regexp_extract(to_wkt(box()), "^[A-Z]+", 0).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+BITS = 8
+CAPACITY = node_capacity(4096)[1]
+DOMAIN = (0.0, 0.0, 65536.0, 1048576.0)
+
+
+def _hilbert_sql(data: str, bits: int = BITS, domain: tuple = DOMAIN) -> str:
+    x0, y0, x1, y1 = domain
+    n = 2**bits
+    steps = [
+        f"h0 AS (SELECT *, least(floor(((xmin + xmax) / 2 - {x0}) / {x1 - x0} * {n}.0), {n - 1})::BIGINT AS x, least(floor(((ymin + ymax) / 2 - {y0}) / {y1 - y0} * {n}.0), {n - 1})::BIGINT AS y, 0::BIGINT AS d FROM ({SQL_DATA[data]}))"
+    ]
+    for k, i in enumerate(range(bits - 1, -1, -1)):
+        flip = "ry = 0 AND rx = 1"
+        steps.append(f"g{k + 1} AS (SELECT * REPLACE (CASE WHEN {flip} THEN {n - 1} - x ELSE x END AS x, CASE WHEN {flip} THEN {n - 1} - y ELSE y END AS y) FROM (SELECT *, (x >> {i}) & 1 AS rx, (y >> {i}) & 1 AS ry FROM h{k}))")
+        steps.append(f"h{k + 1} AS (SELECT * EXCLUDE (rx, ry) REPLACE (CASE WHEN ry = 0 THEN y ELSE x END AS x, CASE WHEN ry = 0 THEN x ELSE y END AS y, d * 4 + xor(3 * rx, ry) AS d) FROM g{k + 1})")
+    return f"WITH {', '.join(steps)}, lhv AS (SELECT id, xmin, ymin, xmax, ymax, d AS lhv FROM h{bits})"
+
+
+def _tree_sql(data: str = "order_rects", levels: int = 4) -> str:
+    m = CAPACITY
+    parts = [
+        f"l0 AS (SELECT 0 AS height, r // {m} AS node_id, (r % {m})::INTEGER AS elem_position, id AS pointer, xmin, ymin, xmax, ymax, lhv FROM (SELECT *, row_number() OVER (ORDER BY lhv, id) - 1 AS r FROM lhv))"
+    ]
+    for h in range(1, levels):
+        parts.append(
+            f"l{h} AS (SELECT {h} AS height, pointer // {m} AS node_id, (pointer % {m})::INTEGER AS elem_position, pointer, xmin, ymin, xmax, ymax, lhv FROM "
+            f"(SELECT node_id AS pointer, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, max(lhv) AS lhv FROM l{h - 1} GROUP BY node_id) WHERE (SELECT count(DISTINCT node_id) FROM l{h - 1}) > 1)"
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM l{h}" for h in range(levels))
+    return f"{_hilbert_sql(data)}, {', '.join(parts)}, tree AS ({every})"
+
+
+def _tree(spark, folder) -> DataFrame:
+    return packing.packed_tree(datasets.load(spark, folder, "order_rects"), CAPACITY, DOMAIN, BITS)
+
+
+@query("hilbert_values", f"{_hilbert_sql('order_rects')} SELECT id, lhv FROM lhv")
+def hilbert_values(spark, folder):
+    return packing.with_hilbert(datasets.load(spark, folder, "order_rects"), DOMAIN, BITS).select("id", "lhv")
+
+
+@query("packed_tree_entries", f"{_tree_sql()} SELECT * FROM tree")
+def packed_tree_entries(spark, folder):
+    return _tree(spark, folder)
+
+
+@query("tree_nodes_per_height", f"{_tree_sql()} SELECT height, count(DISTINCT node_id) AS nodes, count(*) AS entries FROM tree GROUP BY height")
+def tree_nodes_per_height(spark, folder):
+    return packing.nodes_per_height(_tree(spark, folder))
+
+
+@query("tree_node_metrics", f"""{_tree_sql()} SELECT height, node_id, count(*) AS entries, (max(xmax) - min(xmin)) * (max(ymax) - min(ymin)) AS coverage_area,
+  (max(xmax) - min(xmin)) + (max(ymax) - min(ymin)) AS margin FROM tree GROUP BY height, node_id""")
+def tree_node_metrics(spark, folder):
+    return packing.node_metrics(_tree(spark, folder))
+
+
+_OVERLAP = f"""overlap AS (SELECT a.height, a.node_id, sum(CASE WHEN least(a.xmax, b.xmax) > greatest(a.xmin, b.xmin) AND least(a.ymax, b.ymax) > greatest(a.ymin, b.ymin)
+  THEN (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) ELSE 0.0 END) AS overlap_area
+  FROM tree a JOIN tree b USING (height, node_id) WHERE a.elem_position <> b.elem_position GROUP BY a.height, a.node_id)"""
+
+
+@query("tree_node_overlap", f"{_tree_sql()}, {_OVERLAP} SELECT height, node_id, round(overlap_area, 2) AS overlap_area FROM overlap")
+def tree_node_overlap(spark, folder):
+    return packing.node_overlap(_tree(spark, folder)).withColumn("overlap_area", F.round("overlap_area", 2))
+
+
+@query("tree_snapshot", f"""{_tree_sql()}, {_OVERLAP}, m AS (SELECT height, node_id, count(*) AS entries, (max(xmax) - min(xmin)) * (max(ymax) - min(ymin)) AS area FROM tree GROUP BY height, node_id)
+SELECT count(*) AS nodes, sum(entries)::BIGINT AS entries, max(height) + 1 AS tree_height, count(*) FILTER (WHERE height = 0) AS leaf_nodes, count(*) FILTER (WHERE height > 0) AS internal_nodes,
+  avg(entries) AS avg_entries, round(avg(area), 3) AS avg_coverage_area, round(avg(coalesce(overlap_area, 0.0)), 3) AS avg_overlap_area FROM m LEFT JOIN overlap USING (height, node_id)""")
+def tree_snapshot(spark, folder):
+    s = packing.structure_snapshot(_tree(spark, folder))
+    return s.withColumns({c: F.round(c, 3) for c in ("avg_coverage_area", "avg_overlap_area")})
+
+
+@query("tree_dead_space")
+def tree_dead_space(spark, folder):
+    return packing.dead_space(_tree(spark, folder))
+
+
+@query("tree_range_query", f"SELECT id FROM ({_objects_sql('order_rects')}), ({_window_sql(ORDER_WINDOW)}) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}")
+def tree_range_query(spark, folder):
+    return packing.tree_query(_tree(spark, folder), ORDER_WINDOW)
+
+
+_TRACE = """t AS (SELECT date_diff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS pe_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS rw_order,
+  CASE WHEN event_type IN ('purchase', 'signup') THEN 'WRITE' ELSE 'READ' END AS op_type, user_id::INTEGER AS page_id FROM events)"""
+_RUNS = f"""{_TRACE}, m AS (SELECT *, CASE WHEN page_id = lag(page_id) OVER w + 1 AND op_type = lag(op_type) OVER w THEN 0 ELSE 1 END AS head FROM t WINDOW w AS (PARTITION BY pe_id ORDER BY rw_order)),
+r AS (SELECT *, sum(head) OVER (PARTITION BY pe_id ORDER BY rw_order) AS run FROM m),
+runs AS (SELECT pe_id, run::BIGINT AS run, any_value(op_type) AS op_type, min(page_id) AS first_page, max(page_id) AS last_page, count(*) AS pages FROM r GROUP BY pe_id, run)"""
+
+
+@query("page_requests", f"WITH {_TRACE} SELECT pe_id, op_type, count(*) AS requests, count(DISTINCT page_id) AS pages FROM t GROUP BY 1, 2")
+def page_requests(spark, folder):
+    return datasets.page_trace(spark, folder).groupBy("pe_id", "op_type").agg(F.count("*").alias("requests"), F.count_distinct("page_id").alias("pages"))
+
+
+@query("coalesced_runs", f"WITH {_RUNS} SELECT * FROM runs")
+def coalesced_runs(spark, folder):
+    return traces.coalesced_runs(datasets.page_trace(spark, folder))
+
+
+@query("device_operations", f"""WITH {_RUNS}, a AS (SELECT pe_id, op_type, count(*) AS operations, max(pages) AS longest FROM runs GROUP BY 1, 2),
+b AS (SELECT pe_id, op_type, count(*) AS requests, count(DISTINCT page_id) AS pages FROM t GROUP BY 1, 2) SELECT * FROM b JOIN a USING (pe_id, op_type)""")
+def device_operations(spark, folder):
+    return traces.operations(datasets.page_trace(spark, folder))
+
+
+_DISTANCE = f"""{_TRACE}, p AS (SELECT *, lag(rw_order) OVER (PARTITION BY pe_id, page_id ORDER BY rw_order) AS prev FROM t),
+dist AS (SELECT a.pe_id, a.rw_order, a.page_id, CASE WHEN a.prev IS NOT NULL THEN (SELECT count(DISTINCT b.page_id) FROM t b WHERE b.pe_id = a.pe_id AND b.rw_order > a.prev AND b.rw_order < a.rw_order) END AS distance FROM p a)"""
+
+
+@query("reuse_distances", f"WITH {_DISTANCE} SELECT * FROM dist")
+def reuse_distances(spark, folder):
+    return traces.reuse_distances(datasets.page_trace(spark, folder))
+
+
+@query("lru_curve", f"""WITH {_DISTANCE} SELECT pe_id, slots, count(*) FILTER (WHERE distance < slots) AS hits, count(*) FILTER (WHERE distance IS NULL OR distance >= slots) AS faults
+FROM dist, (VALUES (4), (16), (64)) s(slots) GROUP BY 1, 2""")
+def lru_curve(spark, folder):
+    return traces.lru_curve(datasets.page_trace(spark, folder), [4, 16, 64])
+
+
+def _add_cache(policy: str) -> None:
+    QUERIES[f"cache_{policy.lower()}"] = lambda spark, folder: traces.replay(datasets.page_trace(spark, folder), policy, 16)
+
+
+for _c in traces.POLICIES:
+    _add_cache(_c)
+
+
+def _log(spark, folder) -> DataFrame:
+    """Inserts of all orders, then a second round of inserts, deletes and repeated deletes."""
+    d = datasets.load(spark, folder, "order_rects").withColumnRenamed("id", "p")
+    first = d.select(F.col("p").alias("seq"), F.lit("INSERT").alias("op"), "*")
+    again = d.where("p % 7 = 0").select((F.col("p") + 10**9).alias("seq"), F.lit("INSERT").alias("op"), "*")
+    gone = d.where("p % 3 = 0").select((F.col("p") + 2 * 10**9).alias("seq"), F.lit("DELETE").alias("op"), "*")
+    twice = d.where("p % 9 = 0").select((F.col("p") + 3 * 10**9).alias("seq"), F.lit("DELETE").alias("op"), "*")
+    return first.unionByName(again).unionByName(gone).unionByName(twice)
+
+
+@query("live_entries", f"""SELECT id, xmin, ymin, xmax, ymax, copies FROM (SELECT o.*, greatest(0, 1 + (CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) - (CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END) - (CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END))::BIGINT AS copies
+FROM ({SQL_DATA['order_rects']}) o) WHERE copies > 0""")
+def live_entries(spark, folder):
+    return oplog.live_entries(_log(spark, folder))
+
+
+@query("replayed_log", f"""SELECT 1 AS idx_id, id + 5000000 AS id, xmin, ymin, xmax + 1 AS xmax, ymax FROM ({SQL_DATA['order_rects']}) WHERE id % 5 = 0
+UNION ALL SELECT 1, * FROM ({SQL_DATA['order_rects']}) WHERE id % 5 <> 0""")
+def replayed_log(spark, folder):
+    """An update of every fifth order, and updates of orders that are not there, which insert nothing."""
+    d = datasets.load(spark, folder, "order_rects")
+    c = ["xmin", "ymin", "xmax", "ymax"]
+    none = [F.lit(None).cast("long").alias("old_p"), *[F.lit(None).cast("double").alias(f"old_{x}") for x in c]]
+    ins = d.select(F.lit(1).alias("idx_id"), F.col("id").alias("seq"), F.lit("INSERT").alias("op"), F.col("id").alias("p"), *c, *none)
+    old = [F.col("id").alias("old_p"), *[F.col(x).alias(f"old_{x}") for x in c]]
+    new = [(F.col("id") + 5_000_000).alias("p"), "xmin", "ymin", (F.col("xmax") + 1).alias("xmax"), "ymax"]
+    upd = d.where("id % 5 = 0").select(F.lit(1).alias("idx_id"), (F.col("id") + 10**9).alias("seq"), F.lit("UPDATE").alias("op"), *new, *old)
+    lost = d.where("id % 11 = 0").select(F.lit(1).alias("idx_id"), (F.col("id") + 2 * 10**9).alias("seq"), F.lit("UPDATE").alias("op"), *new, (F.col("id") + 9_000_000).alias("old_p"), *old[1:])
+    return oplog.replay(ins.unionByName(upd).unionByName(lost))
+
+
+@query("random_points")
+def random_points(spark, folder):
+    return workloads.random_points(spark, DOMAIN, 100)
+
+
+@query("random_windows")
+def random_windows(spark, folder):
+    return workloads.random_windows(spark, DOMAIN, 0.1, 100)
+
+
+@query("correlated_points")
+def correlated_points(spark, folder):
+    return workloads.correlated_points(datasets.load(spark, folder, "order_rects"), 100)
+
+
+@query("correlated_intersection_windows")
+def correlated_intersection_windows(spark, folder):
+    return workloads.correlated_windows(datasets.load(spark, folder, "order_rects"), DOMAIN, 0.001, 100)
+
+
+@query("correlated_containment_windows")
+def correlated_containment_windows(spark, folder):
+    return workloads.correlated_windows(datasets.load(spark, folder, "order_rects"), DOMAIN, 0.05, 100, containment=True)
