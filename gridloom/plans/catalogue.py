@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import EPSILON, area, box, center_distance2, expansion, literal_box, margin, node_capacity, overlap_area, to_wkt, union
 from ..functions.predicates import Predicate
-from ..operators import oplog, packing, selection, traces, workloads
+from ..operators import flash, oplog, packing, selection, traces, trees, workloads, write_buffers
+from ..operators.splits import SPLITS
 from ..sources import datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,3 +388,67 @@ def correlated_intersection_windows(spark, folder):
 @query("correlated_containment_windows")
 def correlated_containment_windows(spark, folder):
     return workloads.correlated_windows(datasets.load(spark, folder, "order_rects"), DOMAIN, 0.05, 100, containment=True)
+
+
+#: Trees that are grown one insert at a time: every split, and every kind of tree.
+TREES = {i + 1: {"kind": "rtree", "least": 2, "most": 6, "split": name} for i, name in enumerate(SPLITS)} | {
+    7: {"kind": "rstar", "least": 2, "most": 6}, 8: {"kind": "hilbert", "least": 2, "most": 6, "domain": (0.0, 0.0, 64.0, 2048.0)}, 9: {"kind": "overflow", "least": 2, "most": 6},
+}
+
+
+def _tree_log(spark, folder, with_windows: bool) -> DataFrame:
+    """For each tree: all parts inserted, those of an eighth deleted, then range windows asked."""
+    d = datasets.load(spark, folder, "part_pts").withColumnRenamed("id", "p")
+    log = d.select(F.col("p").alias("seq"), F.lit("INSERT").alias("op"), "*").unionByName(d.where("p % 8 = 3").select((F.col("p") + 10**9).alias("seq"), F.lit("DELETE").alias("op"), "*"))
+    if with_windows:
+        w = workloads.windows(spark, PART_WINDOWS)
+        log = log.unionByName(w.select((F.col("qid") + 2 * 10**9).cast("long").alias("seq"), F.lit("QUERY").alias("op"), F.col("qid").cast("long").alias("p"), "xmin", "ymin", "xmax", "ymax"))
+    return log.withColumn("idx_id", F.explode(F.array(*[F.lit(i) for i in TREES])))
+
+
+PART_WINDOWS = [(1, 10, 920, 30, 960), (2, 5, 900, 5, 1000), (3, 0, 0, 60, 2000), (4, 20, 950, 20, 950), (5, 70, 0, 80, 10)]
+_LIVE_PARTS = f"SELECT * FROM ({SQL_DATA['part_pts']}) WHERE id % 8 <> 3"
+_IDX = "(VALUES " + ", ".join(f"({i})" for i in TREES) + ") i(idx_id)"
+
+
+@query("grown_tree_entries", f"SELECT idx_id, id AS pointer, xmin, ymin, xmax, ymax FROM ({_LIVE_PARTS}), {_IDX}")
+def grown_tree_entries(spark, folder):
+    return trees.grow(_tree_log(spark, folder, False), TREES).where("node_height = 0").select("idx_id", "pointer", "xmin", "ymin", "xmax", "ymax")
+
+
+@query("grown_tree_window_counts", f"""SELECT idx_id, row_number() OVER (PARTITION BY idx_id ORDER BY qid) AS nth, n FROM (SELECT idx_id, qid, (SELECT count(*) FROM (SELECT id, xmin AS oxmin, ymin AS oymin, xmax AS oxmax, ymax AS oymax FROM ({_LIVE_PARTS})) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}) AS n
+FROM (VALUES {', '.join(f"({q}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in b) + ")" for q, *b in PART_WINDOWS)}) t(qid, qxmin, qymin, qxmax, qymax), {_IDX})""")
+def grown_tree_window_counts(spark, folder):
+    from pyspark.sql import Window
+
+    asked = trees.run_workload(_tree_log(spark, folder, True), TREES).where("results is not null")
+    return asked.select(F.col("pe_id").alias("idx_id"), F.row_number().over(Window.partitionBy("pe_id").orderBy("rw_order")).alias("nth"), F.col("results").alias("n"))
+
+
+@query("grown_tree_requests_per_height")
+def grown_tree_requests_per_height(spark, folder):
+    return trees.run_workload(_tree_log(spark, folder, True), TREES).groupBy("pe_id", "op_type", "height").agg(F.count("*").alias("requests"))
+
+
+@query("grown_tree_cache")
+def grown_tree_cache(spark, folder):
+    return traces.replay(trees.run_workload(_tree_log(spark, folder, True), TREES), "HLRU", 16)
+
+
+@query("split_report")
+def split_report(spark, folder):
+    tree = packing.packed_tree(datasets.load(spark, folder, "part_pts"), 8, (0.0, 0.0, 64.0, 2048.0), BITS)
+    return trees.split_report(tree.where("height = 0"), 2)
+
+
+@query("flash_device")
+def flash_device(spark, folder):
+    return flash.simulate(datasets.page_trace(spark, folder), flash.DeviceConfig(blocks=64, pages_per_block=8))
+
+
+def _add_buffer(policy: str) -> None:
+    QUERIES[f"write_buffer_{policy}"] = lambda spark, folder: write_buffers.replay(datasets.page_trace(spark, folder), write_buffers.BufferConfig(capacity=2048, policy=policy))
+
+
+for _w in ("all", "random", "most", "most_recent_least", "value"):
+    _add_buffer(_w)
