@@ -6,17 +6,20 @@ shingles is hashed into segments, of which some must agree exactly and the
 others up to one shingle, such that D differences cannot spoil all of them:
 exact + 2 x one-deletion segments = D + 1. How many of each is chosen for each
 band by cost: signatures to index against agreements by chance among the sets
-of that size. Sets that share a signature fall into one family, and every pair
-of a family is verified exactly.
+of that size. Sets that share a signature, and whose counts of shingles in hash
+cells differ by no more than D in all (no linked pair's do), fall into one
+family, and every pair of a family is verified exactly.
 
 Equal sets are one node (a 128-bit digest) throughout, so copies cost nothing
 after the first pass. Families larger than a block are dealt over all pairs of
-blocks. Signatures are made distinct in each batch before they are shuffled.
+blocks. Signatures are made distinct in each batch before they are shuffled, and
+only those that two nodes share meet the cell counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,8 +33,10 @@ from pyspark.sql import Window
 from .common import NULL_ID, WordHashes, cut, mix
 from .components import connected_components
 
-#: Chance that one shingle of a segment is shared by unrelated sets, for the cost model.
-SHARED = 0.3
+#: What a chance agreement costs, in signatures to index, for the cost model.
+AGREEMENT = 0.05
+#: Sets of one signature that are compared with each other; larger groups are chained without a comparison.
+GROUP = 1500
 #: Sets and shingles in a block of a family.
 BLOCK_SETS, BLOCK_SHINGLES = 400, 400_000
 _GROWTH = 1.5
@@ -78,19 +83,93 @@ class Allocation:
 
 
 def allocate(b: int, sets: int, percent: int) -> Allocation:
-    """The cheapest allocation for a band that holds so many sets."""
+    """The cheapest allocation for a band that holds so many sets.
+
+    Unrelated sets agree on a segment when both have nothing there, on one with
+    a deletion when both have at most one shingle.
+    """
     end = band_ends(1 << 40)[b]
     need = 2 * end * (100 - percent) // (100 + percent) + 1
     best = None
     for one in range(need // 2 + 1):
         exact = need - 2 * one
         c = end / (exact + one)
-        cost = exact * (1 + sets * SHARED**c) + one * (c + 1) * (1 + sets * SHARED ** max(c - 1, 0))
+        chance, near = sets * math.exp(-2 * c), sets * ((1 + c) * math.exp(-c)) ** 2
+        cost = exact * (1 + AGREEMENT * chance) + one * (c + 1 + AGREEMENT * near)
         if best is None or cost < best[0]:
             best = (cost, Allocation(exact, one))
     return best[1]
 
 
+def cells(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in hash cells, a power of two of them, at most 255 each."""
+    n = max(64, min(4096, 1 << max(0, (len(s) - 1) // 8).bit_length()))
+    return np.minimum(np.bincount((mix(s, 0x1B873593) & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def folded(data: bytes, n: int) -> np.ndarray:
+    """The counts in n cells; sums of parts, so that distances only shrink."""
+    return np.frombuffer(data, np.uint8).astype(np.int32).reshape(-1, n).sum(0)
+
+
+class Groups:
+    """Takes rows (sig, node, n, cells) in the order of sig and gives a forest of the pairs that may link."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.sig = None
+        self.held: dict[bytes, tuple[int, bytes]] = {}
+        self.chained: bytes | None = None
+        self.seen: set[int] = set()
+        self.out: list[tuple[bytes, bytes]] = []
+
+    def add(self, sig: int, node: bytes, n: int, data: bytes) -> None:
+        if sig != self.sig:
+            self.close()
+            self.sig = sig
+        if self.chained is not None:
+            self.out.append((self.chained, node))
+            self.chained = node
+        elif node not in self.held:
+            self.held[node] = (n, data)
+            if len(self.held) > GROUP:
+                names = list(self.held)
+                self.out += zip(names, names[1:])
+                self.chained = names[-1]
+                self.held = {}
+
+    def close(self) -> None:
+        held, self.held, self.chained = self.held, {}, None
+        if len(held) < 2:
+            return
+        key = hash(tuple(held))
+        if key in self.seen:
+            return
+        if len(self.seen) > 1_000_000:
+            self.seen.clear()
+        self.seen.add(key)
+        names = list(held)
+        size = np.array([n for n, _ in held.values()], np.int64)
+        least = min(len(d) for _, d in held.values())
+        c = np.stack([folded(d, least) for _, d in held.values()])
+        top = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for i in range(len(names) - 1):
+            total = size[i] + size[i + 1 :]
+            ok = np.abs(c[i + 1 :] - c[i]).sum(1) * (100 + self.percent) <= total * (100 - self.percent)
+            for j in np.nonzero(ok)[0] + i + 1:
+                a, b = find(i), find(int(j))
+                if a != b:
+                    top[b] = a
+                    self.out.append((names[i], names[int(j)]))
+
+
 def signatures(s: np.ndarray, plan: dict[int, Allocation], percent: int) -> np.ndarray:
     """All signatures of a set: for its band, and for the next if a linked set can be in it."""
     size = len(s)
@@ -173,9 +252,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hashes = WordHashes()
         for pdf in batches:
             sets = [shingles(t, hashes, n) for t in pdf["t"]]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "node": [digest(s) for s in sets]})
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "node": [digest(s) for s in sets], "cells": [cells(s) for s in sets]})
 
-    base = cut(rows.mapInPandas(sizes_of, "id long, n long, node binary"))
+    base = cut(rows.mapInPandas(sizes_of, "id long, n long, node binary, cells binary"))
     nodes = base.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
     band_of = F.lit(0)
     for i, end in enumerate(band_ends(1 << 40)[:-1]):
@@ -206,8 +285,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "node": node})
 
     signed = rows.where("t is not null").mapInPandas(signatures_of, "sig long, node binary")
-    before = F.lag("node").over(Window.partitionBy("sig").orderBy("node"))
-    chain = signed.select("node", before.alias("other")).where("other is not null and other != node").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    w = Window.partitionBy("sig").orderBy("node")
+    differs = lambda f: F.coalesce(f("node").over(w) != F.col("node"), F.lit(False))
+    shared = signed.withColumn("shared", differs(F.lag) | differs(F.lead)).where("shared").select("sig", "node")
+    sketch = base.where("n > 0").groupBy("node").agg(F.max(F.struct("n", "cells")).alias("s"))
+
+    def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups = Groups(percent)
+        for pdf in batches:
+            for row in zip(pdf["sig"].tolist(), map(bytes, pdf["node"]), pdf["n"].tolist(), map(bytes, pdf["cells"])):
+                groups.add(*row)
+            if groups.out:
+                yield pd.DataFrame(groups.out, columns=["a", "b"])
+                groups.out = []
+        groups.close()
+        yield pd.DataFrame(groups.out, columns=["a", "b"])
+
+    chain = shared.join(sketch, "node").select("sig", "node", "s.n", "s.cells").repartition("sig").sortWithinPartitions("sig").mapInPandas(may_link, "a binary, b binary")
     families = connected_components(chain)
     member = cut(families.join(nodes, "node").select("node", F.col("root").alias("family"), "rep", "n", "copies"))
     blocks = member.groupBy("family").agg(
@@ -263,7 +357,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "node", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     known = cut(known)
-    done = base.join(known, "node", "left")
+    done = base.drop("cells").join(known, "node", "left")
     null = lambda c: F.when(c != NULL_ID, c).cast(kind)
     return done.select(
         null(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null(F.coalesce("component", "id")).alias("component_id"),
