@@ -121,6 +121,7 @@ class Groups:
         self.held: dict[bytes, tuple[int, bytes]] = {}
         self.chained: bytes | None = None
         self.seen: set[int] = set()
+        self.top: dict[bytes, bytes] = {}
         self.out: list[tuple[bytes, bytes]] = []
 
     def add(self, sig: int, node: bytes, n: int, data: bytes) -> None:
@@ -152,22 +153,29 @@ class Groups:
         size = np.array([n for n, _ in held.values()], np.int64)
         least = min(len(d) for _, d in held.values())
         c = np.stack([folded(d, least) for _, d in held.values()])
-        top = list(range(len(names)))
-
-        def find(x: int) -> int:
-            while top[x] != x:
-                top[x] = top[top[x]]
-                x = top[x]
-            return x
-
+        # what earlier groups have joined needs no comparison
+        if len(self.top) > 1_000_000:
+            self.top.clear()
+        roots = [self._find(x) for x in names]
+        number = {x: i for i, x in enumerate(dict.fromkeys(roots))}
+        part = np.array([number[x] for x in roots])
         for i in range(len(names) - 1):
-            total = size[i] + size[i + 1 :]
-            ok = np.abs(c[i + 1 :] - c[i]).sum(1) * (100 + self.percent) <= total * (100 - self.percent)
-            for j in np.nonzero(ok)[0] + i + 1:
-                a, b = find(i), find(int(j))
-                if a != b:
-                    top[b] = a
-                    self.out.append((names[i], names[int(j)]))
+            apart = np.nonzero(part[i + 1 :] != part[i])[0] + i + 1
+            if not len(apart):
+                continue
+            ok = np.abs(c[apart] - c[i]).sum(1) * (100 + self.percent) <= (size[i] + size[apart]) * (100 - self.percent)
+            for j in apart[ok].tolist():
+                if part[j] != part[i]:
+                    part[part == part[j]] = part[i]
+                    self.top[self._find(names[j])] = self._find(names[i])
+                    self.out.append((names[i], names[j]))
+
+    def _find(self, x: bytes) -> bytes:
+        top = self.top
+        while (y := top.get(x, x)) != x:
+            top[x] = z = top.get(y, y)
+            x = z
+        return x
 
 
 def signatures(s: np.ndarray, plan: dict[int, Allocation], percent: int) -> np.ndarray:
