@@ -293,11 +293,11 @@ def fit_field(texts: list[str], seed: int = 7, most: int = 500) -> Field:
 
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, n: int = SAMPLE_DOCS) -> list[str]:
     """Up to n texts with a digit or an ``@``, those of the least key hashes, the first SAMPLE_CHARS of each."""
-    rows = (
-        docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(F.col(id_col), F.lit("pii")).alias("h"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"))
-        .orderBy("h", "t").limit(n).collect()
-    )
-    return [r["t"] for r in rows]
+    useful = docs.where(F.col(text_col).rlike("[0-9@]") & F.col(id_col).isNotNull())
+    # hashes alone compete, so a task sends n small rows; the texts follow for the n chosen
+    ids = useful.select(F.xxhash64(F.col(id_col), F.lit("pii")).alias("h"), F.col(id_col).alias("k")).orderBy("h", "k").limit(n)
+    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("k")).select("h", F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t")).where("t is not null").orderBy("h", "t").limit(n)
+    return [r["t"] for r in rows.collect()]
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
