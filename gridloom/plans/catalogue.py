@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import EPSILON, area, box, center_distance2, expansion, literal_box, margin, node_capacity, overlap_area, to_wkt, union
 from ..functions.predicates import Predicate
-from ..operators import flash, oplog, packing, selection, traces, trees, workloads, write_buffers
+from ..operators import flash, oplog, packing, selection, traces, trees, tuned_buffers, workloads, write_buffers
 from ..operators.splits import SPLITS
 from ..sources import datasets
 
@@ -452,3 +452,11 @@ def _add_buffer(policy: str) -> None:
 
 for _w in ("all", "random", "most", "most_recent_least", "value"):
     _add_buffer(_w)
+
+
+def _add_tuned(policy: str) -> None:
+    QUERIES[f"tuned_buffer_{policy.lower()}"] = lambda spark, folder: tuned_buffers.replay(datasets.page_trace(spark, folder), policy)
+
+
+for _r in tuned_buffers.READ_POLICIES:
+    _add_tuned(_r)
