@@ -315,7 +315,7 @@ _DISTANCE = f"""{_TRACE}, p AS (SELECT *, lag(rw_order) OVER (PARTITION BY pe_id
 dist AS (SELECT a.pe_id, a.rw_order, a.page_id, CASE WHEN a.prev IS NOT NULL THEN (SELECT count(DISTINCT b.page_id) FROM t b WHERE b.pe_id = a.pe_id AND b.rw_order > a.prev AND b.rw_order < a.rw_order) END AS distance FROM p a)"""
 
 
-@query("reuse_distances", f"WITH {_DISTANCE} SELECT * FROM dist")
+@query("reuse_distances", f"WITH {_DISTANCE} SELECT pe_id, rw_order::INTEGER AS rw_order, page_id, distance FROM dist")
 def reuse_distances(spark, folder):
     return traces.reuse_distances(datasets.page_trace(spark, folder))
 
@@ -416,7 +416,7 @@ def grown_tree_entries(spark, folder):
     return trees.grow(_tree_log(spark, folder, False), TREES).where("node_height = 0").select("idx_id", "pointer", "xmin", "ymin", "xmax", "ymax")
 
 
-@query("grown_tree_window_counts", f"""SELECT idx_id, row_number() OVER (PARTITION BY idx_id ORDER BY qid) AS nth, n FROM (SELECT idx_id, qid, (SELECT count(*) FROM (SELECT id, xmin AS oxmin, ymin AS oymin, xmax AS oxmax, ymax AS oymax FROM ({_LIVE_PARTS})) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}) AS n
+@query("grown_tree_window_counts", f"""SELECT idx_id, (row_number() OVER (PARTITION BY idx_id ORDER BY qid))::INTEGER AS nth, n FROM (SELECT idx_id, qid, (SELECT count(*) FROM (SELECT id, xmin AS oxmin, ymin AS oymin, xmax AS oxmax, ymax AS oymax FROM ({_LIVE_PARTS})) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}) AS n
 FROM (VALUES {', '.join(f"({q}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in b) + ")" for q, *b in PART_WINDOWS)}) t(qid, qxmin, qymin, qxmax, qymax), {_IDX})""")
 def grown_tree_window_counts(spark, folder):
     from pyspark.sql import Window
