@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -72,10 +73,6 @@ def pieces_for(n_bytes: int, each: int) -> int:
     return max(1, math.ceil(n_bytes / each))
 
 
-def source_partitions(df: DataFrame) -> DataFrame:
-    return df
-
-
 def shared_folder(spark: SparkSession) -> None:
     """Makes sure that checkpoint() has a folder; the cluster's own setting wins."""
     sc = spark.sparkContext
@@ -89,3 +86,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the engine delete shuffle files whose DataFrames are out of use; it does so when their driver objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import NULL_ID, WordHashes, cut, mix
+from .common import NULL_ID, WordHashes, cut, mix, release
 from .components import connected_components
 
 #: What a chance agreement costs, in signatures to index, for the cost model.
@@ -271,93 +271,104 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count = {r["band"]: r["count"] for r in nodes.select(band_of.alias("band")).groupBy("band").count().collect()}
     plan = {b: allocate(b, count.get(b, 0) + count.get(b - 1, 0), percent) for b in count}
 
-    def signatures_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for pdf in batches:
-            seen: set[bytes] = set()
-            sig, node = [], []
-            held = 0
-            for t in pdf["t"]:
-                s = shingles(t, hashes, n)
-                d = digest(s)
-                if len(s) and d not in seen:
-                    seen.add(d)
-                    x = signatures(s, plan, percent)
-                    sig.append(x)
-                    node += [d] * len(x)
-                    held += len(x)
-                if held > 200_000:
+    def candidate_edges() -> DataFrame:
+        """Written to the shared folder; the shuffles behind it may go."""
+        def signatures_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashes = WordHashes()
+            for pdf in batches:
+                seen: set[bytes] = set()
+                sig, node = [], []
+                held = 0
+                for t in pdf["t"]:
+                    s = shingles(t, hashes, n)
+                    d = digest(s)
+                    if len(s) and d not in seen:
+                        seen.add(d)
+                        x = signatures(s, plan, percent)
+                        sig.append(x)
+                        node += [d] * len(x)
+                        held += len(x)
+                    if held > 200_000:
+                        yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "node": node})
+                        sig, node, held = [], [], 0
+                if held:
                     yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "node": node})
-                    sig, node, held = [], [], 0
-            if held:
-                yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "node": node})
-
-    signed = rows.where("t is not null").mapInPandas(signatures_of, "sig long, node binary")
-    w = Window.partitionBy("sig").orderBy("node")
-    differs = lambda f: F.coalesce(f("node").over(w) != F.col("node"), F.lit(False))
-    shared = signed.withColumn("shared", differs(F.lag) | differs(F.lead)).where("shared").select("sig", "node")
-    sketch = base.where("n > 0").groupBy("node").agg(F.max(F.struct("n", "cells")).alias("s"))
-
-    def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups = Groups(percent)
-        for pdf in batches:
-            for row in zip(pdf["sig"].tolist(), map(bytes, pdf["node"]), pdf["n"].tolist(), map(bytes, pdf["cells"])):
-                groups.add(*row)
-            if groups.out:
-                yield pd.DataFrame(groups.out, columns=["a", "b"])
-                groups.out = []
-        groups.close()
-        yield pd.DataFrame(groups.out, columns=["a", "b"])
-
-    chain = shared.join(sketch, "node").select("sig", "node", "s.n", "s.cells").repartition("sig").sortWithinPartitions("sig").mapInPandas(may_link, "a binary, b binary")
+
+        signed = rows.where("t is not null").mapInPandas(signatures_of, "sig long, node binary")
+        w = Window.partitionBy("sig").orderBy("node")
+        differs = lambda f: F.coalesce(f("node").over(w) != F.col("node"), F.lit(False))
+        shared = signed.withColumn("shared", differs(F.lag) | differs(F.lead)).where("shared").select("sig", "node")
+        sketch = base.where("n > 0").groupBy("node").agg(F.max(F.struct("n", "cells")).alias("s"))
+
+        def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            groups = Groups(percent)
+            for pdf in batches:
+                for row in zip(pdf["sig"].tolist(), map(bytes, pdf["node"]), pdf["n"].tolist(), map(bytes, pdf["cells"])):
+                    groups.add(*row)
+                if groups.out:
+                    yield pd.DataFrame(groups.out, columns=["a", "b"])
+                    groups.out = []
+            groups.close()
+            yield pd.DataFrame(groups.out, columns=["a", "b"])
+
+        chain = shared.join(sketch, "node").select("sig", "node", "s.n", "s.cells").repartition("sig").sortWithinPartitions("sig").mapInPandas(may_link, "a binary, b binary")
+        return cut(chain.distinct())
+
+    chain = candidate_edges()
+    release(docs.sparkSession)
     families = connected_components(chain)
     member = cut(families.join(nodes, "node").select("node", F.col("root").alias("family"), "rep", "n", "copies"))
     blocks = member.groupBy("family").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k")
     )
-    # the text of one record for each node; records of equal key but other texts are told apart by the digest
-    placed = member.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    texts = rows.join(placed, rows["id"] == placed["rep"]).select("family", "node", "copies", "own", "k", "t")
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "family", "node", "copies", "own", "t", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
-    )
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        hashes = WordHashes()
-        seen, sets, at = set(), [], []
-        for i, (t, d) in enumerate(zip(pdf["t"], pdf["node"])):
-            d = bytes(d)
-            if d not in seen:
-                s = shingles(t, hashes, n)
-                if digest(s) == d:
-                    seen.add(d)
-                    sets.append(s)
-                    at.append(i)
-        out: list[tuple] = []
-        if len(sets) > 1:
-            pdf = pdf.iloc[at]
-            link = linked(sets, percent)
-            if x != y:  # pairs inside a block belong to that block's own task
-                own = pdf["own"].to_numpy()
-                link &= own[:, None] != own[None, :]
-            name = [bytes(d) for d in pdf["node"]]
-            many = link @ pdf["copies"].to_numpy(np.int64)
-            out += [(name[i], None, int(c)) for i, c in enumerate(many) if c]
-            left = np.ones(len(sets), bool)
-            for i in range(len(sets)):
-                if left[i]:
-                    left[i] = False
-                    todo = [i]
-                    while todo:
-                        v = todo.pop()
-                        for w in np.nonzero(link[v] & left)[0]:
-                            left[w] = False
-                            out.append((name[v], name[w], 0))
-                            todo.append(int(w))
-        return pd.DataFrame(out, columns=["a", "b", "links"])
-
-    found = cut(dealt.groupBy("family", "x", "y").applyInPandas(verify, "a binary, b binary, links long"))
+    def verified_links() -> DataFrame:
+        """Written to the shared folder as well."""
+        # the text of one record for each node; records of equal key but other texts are told apart by the digest
+        placed = member.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+        texts = rows.join(placed, rows["id"] == placed["rep"]).select("family", "node", "copies", "own", "k", "t")
+        dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+            "family", "node", "copies", "own", "t", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+        )
+
+        def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+            hashes = WordHashes()
+            seen, sets, at = set(), [], []
+            for i, (t, d) in enumerate(zip(pdf["t"], pdf["node"])):
+                d = bytes(d)
+                if d not in seen:
+                    s = shingles(t, hashes, n)
+                    if digest(s) == d:
+                        seen.add(d)
+                        sets.append(s)
+                        at.append(i)
+            out: list[tuple] = []
+            if len(sets) > 1:
+                pdf = pdf.iloc[at]
+                link = linked(sets, percent)
+                if x != y:  # pairs inside a block belong to that block's own task
+                    own = pdf["own"].to_numpy()
+                    link &= own[:, None] != own[None, :]
+                name = [bytes(d) for d in pdf["node"]]
+                many = link @ pdf["copies"].to_numpy(np.int64)
+                out += [(name[i], None, int(c)) for i, c in enumerate(many) if c]
+                left = np.ones(len(sets), bool)
+                for i in range(len(sets)):
+                    if left[i]:
+                        left[i] = False
+                        todo = [i]
+                        while todo:
+                            v = todo.pop()
+                            for w in np.nonzero(link[v] & left)[0]:
+                                left[w] = False
+                                out.append((name[v], name[w], 0))
+                                todo.append(int(w))
+            return pd.DataFrame(out, columns=["a", "b", "links"])
+
+        return cut(dealt.groupBy("family", "x", "y").applyInPandas(verify, "a binary, b binary, links long"))
+
+    found = verified_links()
+    release(docs.sparkSession)
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     least = roots.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("least"))
