@@ -10,6 +10,12 @@ of that size. Sets that share a signature, and whose counts of shingles in hash
 cells differ by no more than D in all (no linked pair's do), fall into one
 family, and every pair of a family is verified exactly.
 
+Common signatures (empty segments, segments within a passage that many texts
+have) say little and would chain strangers. Some segments more than D + 1 are
+made, so that a set may leave its common signatures out as long as the others
+still outweigh D: a linked set then agrees on one of the others. A set that
+could not spare them keeps them all, so no link is lost.
+
 Equal sets are one node (a 128-bit digest) throughout, so copies cost nothing
 after the first pass. Families larger than a block are dealt over all pairs of
 blocks. Signatures are made distinct in each batch before they are shuffled, and
@@ -39,8 +45,12 @@ AGREEMENT = 0.05
 GROUP = 1500
 #: Sets and shingles in a block of a family.
 BLOCK_SETS, BLOCK_SHINGLES = 400, 400_000
+#: A signature of more sets than this is common.
+COMMON = 100
+#: Segments beyond D + 1, so that common signatures can be left out.
+SPARE = 0.15
 _GROWTH = 1.5
-_FIRST = 9
+_FIRST = 4
 
 
 def shingles(text, hashes: WordHashes, n: int) -> np.ndarray:
@@ -86,16 +96,18 @@ def allocate(b: int, sets: int, percent: int) -> Allocation:
     """The cheapest allocation for a band that holds so many sets.
 
     Unrelated sets agree on a segment when both have nothing there, on one with
-    a deletion when both have at most one shingle.
+    a deletion when both have at most one shingle; agreements of more sets than
+    are common mostly go. Where only equal sets can link there is one segment.
     """
     end = band_ends(1 << 40)[b]
-    need = 2 * end * (100 - percent) // (100 + percent) + 1
+    most = 2 * end * (100 - percent) // (100 + percent)
+    need = most + 1 + math.ceil(SPARE * (most + 1)) if most else 1
     best = None
     for one in range(need // 2 + 1):
         exact = need - 2 * one
         c = end / (exact + one)
         chance, near = sets * math.exp(-2 * c), sets * ((1 + c) * math.exp(-c)) ** 2
-        cost = exact * (1 + AGREEMENT * chance) + one * (c + 1 + AGREEMENT * near)
+        cost = exact * (1 + AGREEMENT * min(chance, COMMON)) + one * (c + 1 + AGREEMENT * min(near, COMMON))
         if best is None or cost < best[0]:
             best = (cost, Allocation(exact, one))
     return best[1]
@@ -178,26 +190,36 @@ class Groups:
         return x
 
 
-def signatures(s: np.ndarray, plan: dict[int, Allocation], percent: int) -> np.ndarray:
-    """All signatures of a set: for its band, and for the next if a linked set can be in it."""
+def signatures(s: np.ndarray, plan: dict[int, Allocation], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a set: for its band, and for the next if a linked set can be in it.
+
+    Each with a mark: 4 x the weight that the set can lose in this band, 2 if the
+    band is the next one, and 1 if the segment weighs two.
+    """
     size = len(s)
     b = band(size)
-    out = []
-    for k in (b, b + 1) if size * 100 // percent > band_ends(1 << 40)[b] else (b,):
+    out, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    largest = size * 100 // percent
+    for k in (b, b + 1) if largest > band_ends(1 << 40)[b] else (b,):
         a = plan.get(k)
         if a is None or (a.exact == 1 and not a.one):  # no set of this band, or only equal sets can link
             continue
         n = a.exact + a.one
+        # no linked set of this band differs by more than d
+        d = (size + min(largest, band_ends(1 << 40)[k])) * (100 - percent) // (100 + percent)
+        mark = 4 * (n + a.one - d - 1) + 2 * (k - b)
         seg = (mix(s, 2 * k + 1) % np.uint64(n)).astype(np.int64)
         y = mix(s, 0x27D4EB2F165667C5)
         total = np.zeros(n, np.uint64)
         np.add.at(total, seg, y)
         tag = mix(np.arange(n, dtype=np.uint64), 1000003 * (k + 1) + n)
         out.append(mix(total, tag))
+        marks.append(mark + (np.arange(n) < a.one))
         if a.one:
             near = seg < a.one
             out.append(mix(total[seg[near]] - y[near], tag[seg[near]]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            marks.append(np.full(len(out[-1]), mark + 1))
+    return np.concatenate(out), np.concatenate(marks)
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -277,27 +299,33 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hashes = WordHashes()
             for pdf in batches:
                 seen: set[bytes] = set()
-                sig, node = [], []
+                sig, mark, node = [], [], []
                 held = 0
                 for t in pdf["t"]:
                     s = shingles(t, hashes, n)
                     d = digest(s)
                     if len(s) and d not in seen:
                         seen.add(d)
-                        x = signatures(s, plan, percent)
+                        x, m = signatures(s, plan, percent)
                         sig.append(x)
+                        mark.append(m)
                         node += [d] * len(x)
                         held += len(x)
                     if held > 200_000:
-                        yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "node": node})
-                        sig, node, held = [], [], 0
+                        yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "node": node, "mark": np.concatenate(mark)})
+                        sig, mark, node, held = [], [], [], 0
                 if held:
-                    yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "node": node})
+                    yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "node": node, "mark": np.concatenate(mark)})
 
-        signed = rows.where("t is not null").mapInPandas(signatures_of, "sig long, node binary")
+        signed = rows.where("t is not null").mapInPandas(signatures_of, "sig long, node binary, mark int")
         w = Window.partitionBy("sig").orderBy("node")
-        differs = lambda f: F.coalesce(f("node").over(w) != F.col("node"), F.lit(False))
-        shared = signed.withColumn("shared", differs(F.lag) | differs(F.lead)).where("shared").select("sig", "node")
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first = F.coalesce(F.lag("node").over(w) != F.col("node"), F.lit(True))
+        shared = signed.withColumn("first", first).where("first").withColumn("sets", F.count("*").over(whole)).where("sets > 1").repartition("node")
+        # what a set loses in a band without its common signatures, and whether it can
+        common = F.col("sets") > COMMON
+        lost = F.sum(F.when(common, F.col("mark") % 2 + 1).otherwise(0)).over(Window.partitionBy("node", F.floor(F.col("mark") / 2)))
+        shared = shared.withColumn("lost", lost).where(~common | (F.col("lost") > F.floor(F.col("mark") / 4))).select("sig", "node")
         sketch = base.where("n > 0").groupBy("node").agg(F.max(F.struct("n", "cells")).alias("s"))
 
         def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

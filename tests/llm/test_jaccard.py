@@ -55,11 +55,12 @@ def made(seed):
     return rows + [(1, None), (2, ""), (3, " \n"), (None, "alone here now and then"), (None, "alone here now and then"), (rows[0][0], rows[0][1]), (rows[1][0], rows[2][1])]
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_same_as_all_pairs(spark, n, percent, monkeypatch):
+@pytest.mark.parametrize("n,percent,common", [(3, 90, 100), (5, 80, 100), (5, 80, 2), (3, 90, 2), (3, 80, 3)])
+def test_same_as_all_pairs(spark, n, percent, common, monkeypatch):
     import gridloom.llm.jaccard as j
 
     monkeypatch.setattr(j, "BLOCK_SETS", 5)  # families over several blocks
+    monkeypatch.setattr(j, "COMMON", common)
     rows = made(n)
     df = spark.createDataFrame([(i, t, "c", b"z") for i, t in rows], "doc_id long, text string, family string, node binary").repartition(3)
     got = jaccard_groups(df, n=n, percent=percent).collect()
