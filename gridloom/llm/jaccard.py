@@ -49,6 +49,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 400, 400_000
 COMMON = 100
 #: Segments beyond D + 1, so that common signatures can be left out.
 SPARE = 0.15
+#: Keys that are broadcast at most (8 bytes each, some 40 MB when built); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 _GROWTH = 1.5
 _FIRST = 4
 
@@ -264,6 +266,12 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """Keys, counted first: marked for broadcast if no more than BROADCAST_KEYS, else as they are."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row for each record: id_col, n_shingles, component_id, n_links.
 
@@ -353,7 +361,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Written to the shared folder as well."""
         # the text of one record for each node; records of equal key but other texts are told apart by the digest
         placed = member.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        texts = rows.join(placed, rows["id"] == placed["rep"]).select("family", "node", "copies", "own", "k", "t")
+        # only the members' texts are shuffled if their keys are few enough
+        theirs = rows.join(few(member.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
+        texts = theirs.join(placed, theirs["id"] == placed["rep"]).select("family", "node", "copies", "own", "k", "t")
         dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
             "family", "node", "copies", "own", "t", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
         )
@@ -422,5 +432,5 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", n: int = 5, pe
     while name in docs.columns:
         name += "_"
     rows = docs.withColumn(name, F.monotonically_increasing_id())
-    stay = jaccard_groups(rows, name, text_col, n, percent).where(F.col(name) == F.col("component_id")).select(name)
-    return rows.join(stay, name, "left_semi").drop(name)
+    gone = jaccard_groups(rows, name, text_col, n, percent).where(F.col(name) != F.col("component_id")).select(name)
+    return rows.join(few(gone), name, "left_anti").drop(name)
