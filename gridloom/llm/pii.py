@@ -6,7 +6,8 @@ length chooses boundaries and types together. It is fitted on the driver on a
 bounded sample of documents whose base spans serve as labels, plus generated
 spellings that the base patterns cannot see. Documents are scored in one pass
 without a shuffle; only the neighbourhoods of digits, ``@`` and ``(at)``-like
-words are looked at, each token of them once.
+words are looked at, each stretch of them whole: the program is linear in its
+tokens. The fit sees stretches of about 240 characters.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -95,19 +97,82 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_|\s+")
 _TRIGGER = re.compile(r"[0-9]{3,}|@|(?<![^\W_])(?:at|AT)(?![^\W_])")
+_TRIGGER_OR_DIGITS = re.compile(r"[0-9]+|@|(?<![^\W_])(?:at|AT)(?![^\W_])")
 _AT = re.compile(r"[\[({<]\s*at\s*[\])}>]|\sat\s", re.IGNORECASE)
 
 
+def triggers(text: str) -> list[tuple[int, int]]:
+    """Places an entity may hold, by start: 3+ digits, ``@``, (at)-like words, and shorter groups of 7+ digits in all within MAX_TOKENS tokens."""
+    out: list[tuple[int, int]] = []
+    groups: list[tuple[int, int]] = []  # the last digit groups of one or two
+    digits = 0
+    for m in _TRIGGER_OR_DIGITS.finditer(text):
+        s, e = m.span()
+        if m[0] in ("at", "AT"):
+            if text[s - 1 : s] in tuple("[({<") or "dot" in text[e : _after(text, e)].lower():
+                out.append((s, e))
+        elif m[0] == "@":
+            out.append((s, e))
+        elif e - s > 2:
+            out.append((s, e))
+            groups, digits = [], 0
+        else:
+            groups.append((s, e))
+            digits += e - s
+            while digits - (groups[0][1] - groups[0][0]) >= 7:
+                digits -= groups[0][1] - groups[0][0]
+                del groups[0]
+            if digits >= 7 and sum(1 for _ in islice(_TOKEN.finditer(text, groups[0][0], e), MAX_TOKENS + 1)) <= MAX_TOKENS:
+                out.append((groups[0][0], e))
+    return sorted(out)
+
+
+def _after(text: str, e: int) -> int:
+    """Where the MAX_TOKENS tokens after position e end."""
+    for m in islice(_TOKEN.finditer(text, e), MAX_TOKENS):
+        e = m.end()
+    return e
+
+
+def _before(text: str, s: int) -> int:
+    """Where the MAX_TOKENS tokens before position s begin."""
+    width = 128
+    while True:
+        a = max(0, s - width)
+        starts = [m.start() for m in _TOKEN.finditer(text, a, s)]
+        if not a:
+            return starts[-MAX_TOKENS] if len(starts) >= MAX_TOKENS else 0
+        if len(starts) > MAX_TOKENS:  # the first may be a token's tail
+            return starts[-MAX_TOKENS]
+        width *= 2
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that may hold an entity: triggers with 48 characters around them, at most 240 long."""
+    """Stretches that may hold an entity: triggers with MAX_TOKENS tokens around them, merged where they meet, of any length.
+
+    No candidate segment reaches out of its stretch, so the best segmentations
+    of all stretches are the best one of the text.
+    """
     out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        if m[0] in ("at", "AT") and text[m.start() - 1 : m.start()] not in tuple("[({<") and "dot" not in text[m.end() : m.end() + 48].lower():
-            continue
-        a, b = max(0, m.start() - 48), min(len(text), m.end() + 48)
-        if out and a <= out[-1][1] and b - out[-1][0] <= 240:
-            out[-1] = (out[-1][0], b)
+    at: list[tuple[int, int]] = []
+    for s, e in triggers(text):
+        if at and (s <= at[-1][1] or sum(1 for _ in islice(_TOKEN.finditer(text, at[-1][1], s), 2 * MAX_TOKENS + 1)) <= 2 * MAX_TOKENS):
+            at[-1] = (at[-1][0], max(e, at[-1][1]))
         else:
+            at.append((s, e))
+    for s, e in at:
+        out.append((_before(text, s), _after(text, e)))
+    return out
+
+
+def examples_of(text: str) -> list[tuple[int, int]]:
+    """Stretches for the fit: triggers with 48 characters around them, at most about 240 long."""
+    out: list[tuple[int, int]] = []
+    for s, e in triggers(text):
+        a, b = max(0, s - 48), min(len(text), e + 48)
+        if out and a <= out[-1][1] and b - out[-1][0] <= 240:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        elif not out or b > out[-1][1]:
             out.append((max(a, out[-1][1]) if out else a, b))
     return out
 
@@ -266,17 +331,23 @@ def _generated(rng: random.Random, words: list[str]) -> list[tuple[str, int, int
             left = " ".join(rng.choice(words) for _ in range(4)) + " "
             text = left + x + " " + " ".join(rng.choice(words) for _ in range(4))
             out.append((text, 0, len(text), [(kind, len(left), len(left) + len(x))] if kind else []))
+    for _ in range(40):  # groups of two digits
+        sep = rng.choice(" .-")
+        for kind, x in (("phone", sep.join(d(2) for _ in range(5))), (None, f"{d(2)}.{d(2)}.{d(4)}"), (None, f"{d(2)}:{d(2)}:{d(2)}"), (None, ", ".join(d(rng.randint(1, 2)) for _ in range(6)))):
+            left = " ".join(rng.choice(words) for _ in range(4)) + " "
+            text = left + x + " " + " ".join(rng.choice(words) for _ in range(4))
+            out.append((text, 0, len(text), [(kind, len(left), len(left) + len(x))] if kind else []))
     return out
 
 
 def fit_field(texts: list[str], seed: int = 7, most: int = 500) -> Field:
-    """Fits on the regions of the given texts (base spans as labels) and on generated spellings."""
+    """Fits on stretches of the given texts (base spans as labels), up to ``most`` with and without a span, and on generated spellings."""
     rng = random.Random(seed)
     examples, words = [], ["the", "of", "and"]
     for t in texts:
         spans = base_spans(t)
         words.extend(w for w in t[:2000].split() if w.isalpha())
-        for a, b in regions(t):
+        for a, b in examples_of(t):
             inside = [(k, s, e) for k, s, e in spans if a <= s and e <= b]
             if any(s < b and e > a and not (a <= s and e <= b) for _, s, e in spans):
                 continue

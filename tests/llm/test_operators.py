@@ -103,6 +103,21 @@ def test_pii_segmentation_is_the_best_of_all():
     assert got == pytest.approx(best(0))
 
 
+def test_pii_in_long_lists_and_short_groups():
+    """Stretches of any length are scored whole, and digit groups of two trigger."""
+    r = random.Random(6)
+    field = pii.fit_field(["mail a.b@mail.example.com now", "call +1 (243) 555-5526 please", "at 10.2.3.4 and 4111111111111111 end"] * 8)
+    numbers = [f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}" for _ in range(200)]
+    text = "list: " + " ".join(numbers) + " end"
+    assert [text[s:e] for _, s, e in pii.all_spans(text, field)[1]] == numbers
+    assert pii.redacted(text, pii.all_spans(text, field)[1]) == "list: " + " ".join(["<PHONE>"] * 200) + " end"
+    assert pii.all_spans("please call 06 12 34 56 78 today", field)[1] == [("phone", 12, 26)]
+    bits = ["1", "25", "0001", "9" * 12, ".", "-", " ", "+", "@", "com", "(", "\n", "é", "[at]", " dot ", "word", "no ", "w" * 60]
+    for k in range(300):
+        x = "".join(r.choice(bits if r.random() < k / 300 else bits[-4:]) for _ in range(r.randint(1, 300)))
+        assert field.spans(x) == field.best(x, 0, len(x)), x
+
+
 def plain_secrets(t):
     out = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
     out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
