@@ -143,6 +143,16 @@ def test_secrets(spark):
     assert secrets_scan.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_long_and_late_digit_tokens_are_candidates():
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    late = "".join(r.choice(letters) for _ in range(30)) + "7" + "".join(r.choice(letters) for _ in range(9))
+    long = "".join(r.choice(letters + "0123456789+/") for _ in range(5000))
+    for x in (late, long, long[:201], long[:200]):
+        assert secrets_scan.candidates(f"set {x} here", []) == [("mixed", 4, 4 + len(x))]
+    assert secrets_scan.candidates(f"set {late.replace('7', 'x')} here and {'a1' * 200} too", []) == []
+
+
 def plain_contamination(rows, items):
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
     wins = collections.defaultdict(set)
