@@ -37,9 +37,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the token ids as little-endian 32-bit integers."""
+    """doc_id, n_tokens, the token ids as little-endian 32-bit integers, and the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, decode=False)
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
 
 
 STAGES = [

@@ -49,3 +49,11 @@ def test_stages(spark, tmp_path):
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     texts = {x["doc_id"]: x["text"] for x in spark.read.parquet(str(tmp_path / "3")).collect()}
     assert all(enc.decode(np.frombuffer(x["ids"], "<u4").tolist()) == texts[x["doc_id"]] for x in now.collect())
+
+
+def test_tokens_are_decoded(spark):
+    texts = {1: "Some text, é 漢字.", 2: "", 3: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in corpus_pipeline.tokens(spark, docs, "").collect()}
+    assert {i: bytes(x["decoded"]).decode() for i, x in got.items()} == {i: t or "" for i, t in texts.items()}
+    assert all(len(x["ids"]) == 4 * x["n_tokens"] for x in got.values())
