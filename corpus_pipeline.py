@@ -28,7 +28,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"), null_items=True)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,9 +66,9 @@ def winnow(g: np.ndarray, window: int) -> np.ndarray:
 class Items:
     """A block of benchmark items, indexed for the join."""
 
-    def __init__(self, items: list[tuple[str, str]], span: int = SPAN, gram: int = GRAM):
+    def __init__(self, items: list[tuple[str | None, str]], span: int = SPAN, gram: int = GRAM):
         self.span, self.gram, self.window = span, gram, span - gram + 1
-        self.ids: list[str] = []
+        self.ids: list[str | None] = []
         self.words: list[np.ndarray] = []
         self.short: dict[int, dict[bytes, list[int]]] = {}
         prints: list[np.ndarray] = []
@@ -138,10 +138,12 @@ class Items:
         return p - left, p + right
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int = BLOCK_WORDS, null_items: bool = False) -> list[Broadcast]:
     """The items in blocks of at most block_words words (or one longer item)."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("n"), F.col(item_text_col).cast("string").alias("t")).where("n is not null and t is not null")
-    blocks: list[list[tuple[str, str]]] = []
+    items = benchmark.select(F.col(item_col).cast("string").alias("n"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
+    if not null_items:
+        items = items.where("n is not null")
+    blocks: list[list[tuple[str | None, str]]] = []
     room = 0
     for r in items.toLocalIterator():  # a block at a time; each stays below block_words
         size = r["t"].count(" ") + 1
@@ -154,17 +156,17 @@ def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_w
 
 
 class Judge:
-    """Judges texts against all blocks: (words, words hit, sorted item ids, contaminated)."""
+    """Judges texts against all blocks: (words, words hit, items, sorted item ids, contaminated)."""
 
     def __init__(self, blocks: list[Broadcast], percent: int):
         self.blocks, self.percent = blocks, percent
         self.hashes = WordHashes()
         self.index: dict[int, Items] = {}
 
-    def __call__(self, texts: Iterable) -> list[tuple[int, int, list[str], bool]]:
+    def __call__(self, texts: Iterable) -> list[tuple[int, int, int, list[str], bool]]:
         raw = [self.hashes.of(words_of(t)) if isinstance(t, str) else np.zeros(0, np.uint64) for t in texts]
         hit = [np.zeros(len(h), bool) for h in raw]
-        found: list[set[str]] = [set() for _ in raw]
+        found: list[set[str | None]] = [set() for _ in raw]
         for b, block in enumerate(self.blocks):
             if b not in self.index:
                 self.index.clear()  # one block at a time
@@ -177,13 +179,13 @@ class Judge:
         out = []
         for h, got, names in zip(raw, hit, found):
             m = int(got.sum())
-            out.append((len(h), m, sorted(names), m > 0 and 100 * m >= self.percent * len(h)))
+            out.append((len(h), m, len(names), sorted(names - {None}), m > 0 and 100 * m >= self.percent * len(h)))
         return out
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    percent: int = 5, block_words: int = BLOCK_WORDS,
+    percent: int = 5, block_words: int = BLOCK_WORDS, null_items: bool = False,
 ) -> DataFrame:
     """One row for each record: id_col, n_words, n_hit, n_items, items, items_sha256, contaminated.
 
@@ -191,18 +193,20 @@ def decontaminate(
     one. ``items`` lists the ids of items with an occurring window, sorted as
     strings; items of equal id count once. A record is contaminated if at least
     ``percent`` of its words are in such windows. Null and empty texts have no
-    words; items without words or with a null id never occur. Null ids stay
-    null, repeated rows stay repeated, an empty table on either side gives zero
+    words; items without words never occur, nor do those with a null id unless
+    ``null_items``: then they count in n_hit and contaminated, together as one
+    item in n_items, and only ``items`` leaves the null out. Null ids of records
+    stay null, repeated rows stay repeated, an empty table on either side gives zero
     hits, other columns are ignored, texts are read whole.
     """
-    shared = item_blocks(benchmark, item_col, item_text_col, block_words)
+    shared = item_blocks(benchmark, item_col, item_text_col, block_words, null_items)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(shared, percent)
         for pdf in batches:
             rows = []
-            for i, (n, m, names, bad) in zip(pdf["i"], judge(pdf["t"])):
-                rows.append((i, n, m, len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), bad))
+            for i, (n, m, k, names, bad) in zip(pdf["i"], judge(pdf["t"])):
+                rows.append((i, n, m, k, names, hashlib.sha256(",".join(names).encode()).hexdigest(), bad))
             yield pd.DataFrame(rows, columns=["i", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -213,14 +217,14 @@ def decontaminate(
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    percent: int = 5, block_words: int = BLOCK_WORDS,
+    percent: int = 5, block_words: int = BLOCK_WORDS, null_items: bool = False,
 ) -> DataFrame:
-    """The records that are not contaminated, with all their columns; null and empty texts stay."""
-    shared = item_blocks(benchmark, item_col, item_text_col, block_words)
+    """The records that are not contaminated, with all their columns; null and empty texts stay. ``null_items`` as in decontaminate."""
+    shared = item_blocks(benchmark, item_col, item_text_col, block_words, null_items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared, percent)
         for batch in batches:
-            yield batch.filter(pa.array([not bad for _, _, _, bad in judge(batch.column(text_col).to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([not bad for *_, bad in judge(batch.column(text_col).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

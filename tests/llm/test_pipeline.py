@@ -57,3 +57,23 @@ def test_tokens_are_decoded(spark):
     got = {x["doc_id"]: x for x in corpus_pipeline.tokens(spark, docs, "").collect()}
     assert {i: bytes(x["decoded"]).decode() for i, x in got.items()} == {i: t or "" for i, t in texts.items()}
     assert all(len(x["ids"]) == 4 * x["n_tokens"] for x in got.values())
+
+
+def test_items_without_an_id_count(spark, tmp_path):
+    """The registered query against its SQL, and the stage, on a benchmark with null ids."""
+    import duckdb
+
+    from gridloom.llm import queries
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, f"a b {passage} c"), (2, "only clean words"), (3, "short item, see q1 Q2"), (4, f"{passage} x {passage[:-1]}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(None, passage), (None, "q1 q2"), (7, passage), (8, None), (None, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = queries.op5_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(tuple(x) for x in got) == sorted(con.execute(queries.OP5_SQL).fetchall())
+    kept = corpus_pipeline.without_benchmark(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert [x["doc_id"] for x in kept.collect()] == [2]
