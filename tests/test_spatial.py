@@ -309,3 +309,13 @@ def test_stream(spark, tmp_path):
     q.stop()
     want = traces.replay(a_trace(spark, pages), "LRU", 2).first()
     assert [tuple(r) for r in spark.table("cached").select("hits", "faults").collect()] == [(want["hits"], want["faults"])]
+
+
+def test_split_report_names_what_it_skips(spark):
+    from gridloom.operators import trees
+
+    nodes = spark.createDataFrame([(k, float(i), 0.0, i + 1.0, 1.0) for k, n in ((1, 12), (2, 13)) for i in range(n)], "node_id long, xmin double, ymin double, xmax double, ymax double")
+    got = {(x["node_id"], x["split"]): x for x in trees.split_report(nodes, 2).collect()}
+    assert set(got) == {(k, name) for k in (1, 2) for name in trees.SPLITS}
+    assert all((x["n_left"] is None) == (x["area"] is None) == (x["overlap"] is None) == (key == (2, "exponential")) for key, x in got.items())
+    assert got[1, "exponential"]["n_left"] + got[1, "exponential"]["n_right"] == 12
