@@ -72,6 +72,9 @@ def shingles(text, hashes: WordHashes, n: int) -> np.ndarray:
 def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
+#: Twice the most bands that a set can sign for: those up to 100 times its size.
+MARK = 32
+
 
 @lru_cache(None)
 def band_ends(most: int) -> tuple[int, ...]:
@@ -193,23 +196,23 @@ class Groups:
 
 
 def signatures(s: np.ndarray, plan: dict[int, Allocation], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of a set: for its band, and for the next if a linked set can be in it.
+    """All signatures of a set: for its band, and for each further one that a linked set can be in.
 
-    Each with a mark: 4 x the weight that the set can lose in this band, 2 if the
-    band is the next one, and 1 if the segment weighs two.
+    Each with a mark: MARK x the weight that the set can lose in this band, 2 x
+    how many bands further it is, and 1 if the segment weighs two.
     """
     size = len(s)
     b = band(size)
     out, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     largest = size * 100 // percent
-    for k in (b, b + 1) if largest > band_ends(1 << 40)[b] else (b,):
+    for k in range(b, band(largest) + 1):
         a = plan.get(k)
         if a is None or (a.exact == 1 and not a.one):  # no set of this band, or only equal sets can link
             continue
         n = a.exact + a.one
         # no linked set of this band differs by more than d
         d = (size + min(largest, band_ends(1 << 40)[k])) * (100 - percent) // (100 + percent)
-        mark = 4 * (n + a.one - d - 1) + 2 * (k - b)
+        mark = MARK * (n + a.one - d - 1) + 2 * (k - b)
         seg = (mix(s, 2 * k + 1) % np.uint64(n)).astype(np.int64)
         y = mix(s, 0x27D4EB2F165667C5)
         total = np.zeros(n, np.uint64)
@@ -333,7 +336,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # what a set loses in a band without its common signatures, and whether it can
         common = F.col("sets") > COMMON
         lost = F.sum(F.when(common, F.col("mark") % 2 + 1).otherwise(0)).over(Window.partitionBy("node", F.floor(F.col("mark") / 2)))
-        shared = shared.withColumn("lost", lost).where(~common | (F.col("lost") > F.floor(F.col("mark") / 4))).select("sig", "node")
+        shared = shared.withColumn("lost", lost).where(~common | (F.col("lost") > F.floor(F.col("mark") / MARK))).select("sig", "node")
         sketch = base.where("n > 0").groupBy("node").agg(F.max(F.struct("n", "cells")).alias("s"))
 
         def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gridloom.llm.jaccard import jaccard_groups
+from gridloom.llm.jaccard import band, jaccard_groups
 
 
 def brute(rows, n, percent):
@@ -70,3 +70,12 @@ def test_same_as_all_pairs(spark, n, percent, common, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_groups(df).count() == 0
+
+
+def test_links_reach_over_two_bands(spark):
+    """60 percent links sets of 6 and 10 words, whose bands are two apart."""
+    small, large = " ".join(f"w{i}" for i in range(6)), " ".join(f"w{i}" for i in range(10))
+    assert band(10) - band(6) == 2
+    rows = spark.createDataFrame([(1, small), (2, large), (3, "other words only")], "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_groups(rows, n=1, percent=60).collect()}
+    assert got[1] == got[2] != got[3]
