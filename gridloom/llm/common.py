@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Stands for a null id where ids are ordered.
 NULL_ID = 2**63 - 1
+#: Keys that are broadcast at most (8 bytes each, some 40 MB when built); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -79,7 +81,11 @@ def shared_folder(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or "/tmp/checkpoints/gridloom")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints/gridloom"  # one machine: the driver is the only executor
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -88,6 +94,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(keys: DataFrame, bound: int = BROADCAST_KEYS, ready: bool = False) -> DataFrame:
+    """Keys, counted first (and cut, unless ``ready``): marked for broadcast if no more than bound, else as they are."""
+    keys = keys if ready else cut(keys)
+    return F.broadcast(keys) if keys.count() <= bound else keys
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have, in whatever case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets the engine delete shuffle files whose DataFrames are out of use; it does so when their driver objects are collected."""
     gc.collect()

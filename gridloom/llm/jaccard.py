@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import NULL_ID, WordHashes, cut, mix, release
+from .common import NULL_ID, WordHashes, cut, few, mix, release
 from .components import connected_components
 
 #: What a chance agreement costs, in signatures to index, for the cost model.
@@ -49,8 +49,6 @@ BLOCK_SETS, BLOCK_SHINGLES = 400, 400_000
 COMMON = 100
 #: Segments beyond D + 1, so that common signatures can be left out.
 SPARE = 0.15
-#: Keys that are broadcast at most (8 bytes each, some 40 MB when built); more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 _GROWTH = 1.5
 _FIRST = 4
 
@@ -269,12 +267,6 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
-def few(keys: DataFrame) -> DataFrame:
-    """Keys, counted first: marked for broadcast if no more than BROADCAST_KEYS, else as they are."""
-    keys = cut(keys)
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row for each record: id_col, n_shingles, component_id, n_links.
 

@@ -172,13 +172,14 @@ def plain_contamination(rows, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [10, 2_000_000])
-def test_decontamination(spark, block):
-    r = random.Random(block)
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_decontamination(spark, bound):
+    """With everything joined by shuffles, and with filters by broadcast."""
+    r = random.Random(bound)
     v = [f"w{i}" for i in range(12)]
     items = [(k, " ".join(r.choice(v) for _ in range(n))) for k, n in enumerate([1, 2, 5, 12, 13, 14, 20, 40, 60, 60])] + [(30, None), (31, ""), (None, "w1 w2"), (32, "W3, w4!")]
-    items += [(33, " ".join(["same"] * 30)), (34, items[7][1])]
-    rows = EDGE + [(200, " ".join(["same"] * 100))]
+    items += [(33, " ".join(["same"] * 30)), (34, items[7][1])] + [(50 + k, f"{items[8][1]} more{k}") for k in range(60)]
+    rows = EDGE + [(200, " ".join(["same"] * 100)), (201, items[8][1] + " " + items[9][1])]
     for k in range(120):
         w = [r.choice(v) for _ in range(r.randint(0, 50))]
         if k % 2:
@@ -186,10 +187,10 @@ def test_decontamination(spark, block):
             a = r.randrange(len(x))
             w[len(w) // 2 : len(w) // 2] = x[a : a + r.randint(5, 30)]
         rows.append((300 + k, r.choice([" ", ", ", "\n"]).join(w).title()))
-    bench = spark.createDataFrame([(i, t, 3) for i, t in items], "item_id long, text string, t int")
-    got = decontaminate.decontaminate(table(spark, rows), bench, block_words=block).drop("items").collect()
+    bench = spark.createDataFrame([(i, t, 3, 4) for i, t in items], "item_id long, text string, t int, name int").repartition(4)
+    got = decontaminate.decontaminate(table(spark, rows), bench, bound=bound).drop("items").collect()
     assert sorted((tuple(x) for x in got), key=repr) == plain_contamination(rows, items)
-    kept = decontaminate.drop_contaminated(table(spark, rows), bench, block_words=block)
+    kept = decontaminate.drop_contaminated(table(spark, rows), bench, bound=bound)
     assert kept.count() == sum(not x[5] for x in plain_contamination(rows, items)) and kept.columns == ["doc_id", "text", "i", "t", "w", "n"]
 
 
