@@ -41,6 +41,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read(spark, sf_dir, "documents"))
 
 
+#: The checksum's table comes from its rule, as list x of 256 numbers.
+OP10_SQL = """
+WITH x AS (SELECT list(v ORDER BY i) AS x FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id::VARCHAR AS k FROM documents),
+s AS (SELECT doc_id, t, strlen(t)::BIGINT + 1 AS size, k, list_transform(range(9), lambda i: ('0x' || substr(md5(k || ':' || i), 1, 13))::BIGINT) AS u FROM d),
+c AS (SELECT doc_id, size, k, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(t), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda a, b: xor(a >> 8, x.x[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32, list_position(u, list_max(u[1:8])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown_shard FROM s, x)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k || ':slot'), 1, 13))::BIGINT % 4096, text_crc32 % 16, doc_id, text_crc32, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard FROM c
+"""
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
@@ -75,7 +87,8 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets_scan.scan_secrets(read(spark, sf_dir, "documents"))
+    """An owner is a source, its repositories are the source's languages."""
+    return secrets_scan.scan_secrets(read(spark, sf_dir, "documents"), repository_cols=("source", "lang"), owner_col="source")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +121,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 
 
 QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op9_toxicity": op9_toxicity, "op8_quality_rules": op8_quality_rules, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_secret_scan": op6_secret_scan, "op2_byte_bpe": op2_byte_bpe, "op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL}
+ORACLE_SQL = {"op10_sharding": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL}

@@ -67,31 +67,37 @@ def value_of(kind: str, x: str) -> str:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Further spans that may be secrets; none meets a base span or an earlier candidate."""
-    taken = [(s, e) for _, s, e in base]
+    """Further spans that may be secrets; none meets a base span or an earlier candidate. Linear in the text."""
     out = []
     found = [(k, m) for k, p in _MORE for m in p.finditer(text)]
     if any(c in text for c in "0123456789"):
         found += [("mixed", m) for m in _MIXED.finditer(text) if _random_looking(m[0])]
+    if not found:
+        return out
+    taken = bytearray(len(text))
+    for _, s, e in base:
+        taken[s:e] = b"\1" * (e - s)
     for k, m in found:
         s, e = m.span()
-        if not any(s < b and a < e for a, b in taken):
-            taken.append((s, e))
+        if taken.find(1, s, e) < 0:
+            taken[s:e] = b"\1" * (e - s)
             out.append((k, s, e))
     return out
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", owner_col: str | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_cols: tuple[str, ...] = ("source",), owner_col: str | None = None,
     most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES,
 ) -> DataFrame:
     """One row for each record: id_col, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_live, n_example.
 
     ``spans`` holds the base spans and the candidates judged live, as
     ``kind:start:end`` by start. ``n_live`` and ``n_example`` count all spans,
-    base ones too, by ownership; without ``owner_col`` a repository is its own
-    owner, and a null one counts as one owner. Null and empty texts have no
-    spans. Null ids stay null, repeated rows stay repeated, an empty table gives
+    base ones too, by ownership: a candidate in more than ``most_owners`` owners
+    or more than ``most_repositories`` repositories is an example. A repository
+    is an owner's, named by ``repository_cols`` together; without ``owner_col``
+    it is its own owner. Nulls in these columns count as one name. Null and
+    empty texts have no spans. Null ids stay null, repeated rows stay repeated, an empty table gives
     an empty result, other columns are ignored. Ownership is counted over all
     rows; hashes are made distinct by owner before they are shuffled together,
     so a credential in a third of all rows costs one row for each owner and task.
@@ -114,9 +120,11 @@ def scan_secrets(
             yield pd.DataFrame(rows, columns=["i", "n_assign", "n_access", "n_hex", "base_sha256", "found", "r", "o"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    repository = F.concat_ws("\1", *[name(c) for c in repository_cols])
+    owner = name(owner_col) if owner_col else repository
     found = docs.select(
-        F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), name(repository_col).alias("r"), name(owner_col or repository_col).alias("o")
+        F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.concat_ws("\2", owner, repository).alias("r"), owner.alias("o")
     ).mapInPandas(
         run,
         "i string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<k:string,s:int,e:int,base:boolean,h:string>>, r string, o string",
