@@ -7,7 +7,8 @@ bounded sample of documents whose base spans serve as labels, plus generated
 spellings that the base patterns cannot see. Documents are scored in one pass
 without a shuffle; only the neighbourhoods of digits, ``@`` and ``(at)``-like
 words are looked at, each stretch of them whole: the program is linear in its
-tokens. The fit sees stretches of about 240 characters.
+tokens. Entities are bounded: MAX_TOKENS tokens and MAX_DIGITS digits. The fit
+sees stretches of about 240 characters of whole texts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import islice
 
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Longest segment in tokens, documents in the fitting sample, and characters kept of each.
+#: Longest segment in tokens and digits; documents in the fitting sample, and stretches with and without a span.
 MAX_TOKENS = 14
+MAX_DIGITS = 24
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 20_000
+SAMPLE_STRETCHES = 500
 #: A span is added if the field prefers it to no entity by this much.
 MARGIN = 2.0
 
@@ -96,8 +99,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_|\s+")
-_TRIGGER = re.compile(r"[0-9]{3,}|@|(?<![^\W_])(?:at|AT)(?![^\W_])")
-_TRIGGER_OR_DIGITS = re.compile(r"[0-9]+|@|(?<![^\W_])(?:at|AT)(?![^\W_])")
+_TRIGGER = re.compile(r"[0-9]{3,}|@|(?<![^\W_])[Aa][Tt](?![^\W_])")
+_TRIGGER_OR_DIGITS = re.compile(r"[0-9]+|@|(?<![^\W_])[Aa][Tt](?![^\W_])")
 _AT = re.compile(r"[\[({<]\s*at\s*[\])}>]|\sat\s", re.IGNORECASE)
 
 
@@ -108,7 +111,7 @@ def triggers(text: str) -> list[tuple[int, int]]:
     digits = 0
     for m in _TRIGGER_OR_DIGITS.finditer(text):
         s, e = m.span()
-        if m[0] in ("at", "AT"):
+        if m[0].lower() == "at":
             if text[s - 1 : s] in tuple("[({<") or "dot" in text[e : _after(text, e)].lower():
                 out.append((s, e))
         elif m[0] == "@":
@@ -194,6 +197,7 @@ def features(text: str, s: int, e: int) -> list[str]:
         "bias", f"shape={_shape(x)}", f"groups={groups}", f"n={n}", f"len={min(len(x) // 4, 12)}", f"letters={min(letters, 3)}",
         f"first={_shape(x[:1])}", f"last={_shape(x[-1:])}", f"before={_shape(text[s - 1 : s])}", f"after={_shape(text[e : e + 1])}",
         f"plus={x[0] == '+'}", f"luhn={13 <= n <= 19 and not letters and luhn(digits)}",
+        f"quad={len(g := _DIGITS.findall(x)) == 4 and not letters and all(map(_octet, g))}",
         f"octets={len(parts) == 4 and all(p.isascii() and p.isdigit() and _octet(p) for p in parts)}",
         f"at={'@' in x}", f"word_at={bool(_AT.search(low))}", f"dot={' dot ' in low or '[dot]' in low or '(dot)' in low}",
     ]
@@ -230,7 +234,7 @@ class Field:
                 a, b = toks[j - 1]
                 seen += trig[j - 1]
                 digits += sum("0" <= c <= "9" for c in text[a:b])
-                if digits > 24:
+                if digits > MAX_DIGITS:
                     break
                 if (seen or digits >= 7) and text[a].isalnum():
                     out.append((i, j))
@@ -268,7 +272,7 @@ class Field:
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         return [x for a, b in regions(text) for x in self.best(text, a, b)]
 
-    def fit(self, examples: list[tuple[str, int, int, list[tuple[str, int, int]]]], epochs: int = 12, rate: float = 0.3, l2: float = 1e-3) -> Field:
+    def fit(self, examples: list[tuple[str, int, int, list[tuple[str, int, int]]]], epochs: int = 20, rate: float = 0.3, l2: float = 1e-3) -> Field:
         """Maximum conditional likelihood by forward-backward over segmentations. examples: (text, region start, end, spans)."""
         names: dict[str, int] = {}
         data = []
@@ -320,8 +324,17 @@ def _generated(rng: random.Random, words: list[str]) -> list[tuple[str, int, int
     out = []
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+
+    def card(sep: str) -> str:
+        x = d(15)
+        x = next(x + c for c in "0123456789" if luhn(x + c))
+        return sep.join(x[i : i + 4] for i in range(0, 16, 4))
+
+    quad = lambda sep: sep.join(str(rng.randrange(256)) for _ in range(3)) + sep + str(rng.randrange(100, 256))
     for _ in range(40):
         for kind, x in (
+            ("card", card(".")), ("card", card("/")), ("card", card(" - ")), ("ip", quad("[.]")), ("ip", quad(" . ")), ("ip", quad("(.)")),
+            (None, ".".join(d(4) for _ in range(3))), (None, "/".join((d(2), d(2), d(4)))),
             ("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone", f"{d(3)}-{d(3)}-{d(4)}"), ("email", f"{name()} [at] {name()}.com"),
             ("email", f"{name()} (at) {name()} (dot) org"), ("email", f"{name()} at {name()} dot com"),
             (None, d(rng.randint(5, 16))), (None, f"{d(4)}-{d(2)}-{d(2)}"), (None, f"{d(3)}.{d(2)}"), (None, f"{name()} @ {name()}"), (None, d(16)),
@@ -340,13 +353,13 @@ def _generated(rng: random.Random, words: list[str]) -> list[tuple[str, int, int
     return out
 
 
-def fit_field(texts: list[str], seed: int = 7, most: int = 500) -> Field:
-    """Fits on stretches of the given texts (base spans as labels), up to ``most`` with and without a span, and on generated spellings."""
+def fit_field(texts: list[str], seed: int = 7, most: int = SAMPLE_STRETCHES) -> Field:
+    """Fits on stretches of the given texts (base spans as labels), up to ``most`` with and without a span drawn of all, and on generated spellings of every kind."""
     rng = random.Random(seed)
     examples, words = [], ["the", "of", "and"]
     for t in texts:
         spans = base_spans(t)
-        words.extend(w for w in t[:2000].split() if w.isalpha())
+        words.extend(w for w in t.split() if w.isalpha())
         for a, b in examples_of(t):
             inside = [(k, s, e) for k, s, e in spans if a <= s and e <= b]
             if any(s < b and e > a and not (a <= s and e <= b) for _, s, e in spans):
@@ -359,26 +372,38 @@ def fit_field(texts: list[str], seed: int = 7, most: int = 500) -> Field:
             examples.append((t, a, b, flat))
     rng.shuffle(examples)
     with_, without = [x for x in examples if x[3]], [x for x in examples if not x[3]]
-    return Field().fit(with_[:most] + without[:most] + _generated(rng, words[:5000]))
+    return Field().fit(with_[:most] + without[:most] + _generated(rng, words))
 
 
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, n: int = SAMPLE_DOCS) -> list[str]:
-    """Up to n texts with a digit or an ``@``, those of the least key hashes, the first SAMPLE_CHARS of each."""
-    useful = docs.where(F.col(text_col).rlike("[0-9@]") & F.col(id_col).isNotNull())
+    """Up to n whole texts with a digit or an ``@``: those of the least key hashes.
+
+    Rows with null keys or texts are left out, rows of equal key compete by
+    their texts' order, an empty table gives no texts, other columns are
+    ignored, whatever their names.
+    """
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).where("k is not null and t rlike '[0-9@]'")
+    rows = rows.withColumn("h", F.xxhash64("k", F.lit("pii")))
     # hashes alone compete, so a task sends n small rows; the texts follow for the n chosen
-    ids = useful.select(F.xxhash64(F.col(id_col), F.lit("pii")).alias("h"), F.col(id_col).alias("k")).orderBy("h", "k").limit(n)
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("k")).select("h", F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t")).where("t is not null").orderBy("h", "t").limit(n)
-    return [r["t"] for r in rows.collect()]
+    ids = rows.select("h", "k").orderBy("h", "k").limit(n).distinct()
+    return [r["t"] for r in rows.join(F.broadcast(ids), ["h", "k"]).orderBy("h", "t").limit(n).collect()]
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base and added spans); an added one never meets a base one."""
     base = base_spans(text)
     added = []
-    if field is not None:
-        taken = sorted((s, e) for _, s, e in base)
-        for k, s, e in field.spans(text):
-            if not any(a < e and s < b for a, b in taken):
+    if field is not None and (found := field.spans(text)):
+        taken: list[list[int]] = []  # base spans, merged where they meet
+        for s, e in sorted((s, e) for _, s, e in base):
+            if taken and s <= taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], e)
+            else:
+                taken.append([s, e])
+        starts = [s for s, _ in taken]
+        for k, s, e in found:
+            i = bisect_left(starts, e) - 1
+            if i < 0 or taken[i][1] <= s:
                 added.append((k, s, e))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(set(base) | set(added), key=lambda x: (order[x[0]], x[1], x[2]))
@@ -400,7 +425,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """One row for each record: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, redacted.
+    """One row for each record: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added, redacted.
 
     Null and empty texts have no spans (and an empty redacted text). Null ids
     stay null, repeated rows stay repeated, an empty table gives an empty
@@ -417,17 +442,23 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
                 t = t if isinstance(t, str) else ""
                 base, spans = all_spans(t, field)
                 n = [sum(k == x for x, _, _ in base) for k in KINDS]
-                rows.append((i, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(set(base)), redacted(t, spans)))
-            yield pd.DataFrame(rows, columns=["i", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "redacted"])
+                rows.append((i, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), len(spans) - len(set(base)), redacted(t, spans)))
+            yield pd.DataFrame(rows, columns=["i", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added", "redacted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-    out = rows.mapInPandas(run, "i string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string")
+    out = rows.mapInPandas(run, "i string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long, redacted string")
     return out.select(F.col("i").cast(kind).alias(id_col), *out.columns[1:])
 
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", field: Field | None = None) -> DataFrame:
-    """All records and columns, personal data in the text replaced, and the length column, if there is one, counted anew."""
+    """All records and columns, personal data in the text replaced, and the length column, if there is one, counted anew.
+
+    Null texts stay null and keep their length, empty ones stay empty; null and
+    repeated keys and repeated rows stay as they are, other columns pass
+    whatever their names, an empty table gives an empty result. Without a
+    ``field`` one is fitted on a bounded sample, as in find_pii.
+    """
     if field is None:
         field = fit_field(sample_texts(docs, id_col, text_col))
 

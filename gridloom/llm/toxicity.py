@@ -7,10 +7,15 @@ do not. It is fitted on the driver on a bounded sample. Documents are scored in
 one pass without a shuffle: forward and backward messages visit the words that
 have a feature, and cross the stretches between them by powers of the
 transition matrix, so marginals are exact whatever the length of the text.
+
+The fit takes whole texts of the sampled rows, one of those that share label
+and sketch (copies), features that enough toxic texts have, and all windows of
+words around a feature.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -22,12 +27,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of either class in the fitting sample (those of least key hash), and characters of each.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_CHARS = 2000, 3000, 20_000
+#: Labelled rows of either class in the fitting sample: those of least key hash, one text for each key.
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2000, 3000
+#: Toxic texts of the sample that must have a feature: this many, and this share of them.
+LEAST, LEAST_SHARE = 4, 0.01
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _WINDOW = 10
 _REACH = 64
+_FLOOR = 0.05
 _CACHED_WORDS = 300_000
 
 
@@ -48,11 +56,25 @@ class ToxicField:
         for _ in range(_REACH):
             powers.append(powers[-1] @ step)
         self.powers = [tuple(map(tuple, p.tolist())) for p in powers]
+        doubled = [step]
+        for _ in range(40):
+            doubled.append(doubled[-1] @ doubled[-1])
+        self.doubled = doubled
         self.known: dict[str, float | None] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
+    def power(self, n: int) -> tuple[tuple[float, float], tuple[float, float]]:
+        """The transition over n words without a feature."""
+        if n <= _REACH:
+            return self.powers[n]
+        out = np.eye(2)
+        for k in range(n.bit_length()):
+            if n >> k & 1:
+                out = out @ self.doubled[k]
+        return tuple(map(tuple, out.tolist()))
+
     def emission(self, w: str) -> float | None:
         """The toxic state's potential for a word, None without a known feature."""
         got = [self.weights[f] for f in word_features(w) if f in self.weights]
@@ -71,7 +93,7 @@ class ToxicField:
             if last < 0 and p:  # the first word has no transition into it
                 a1 = math.exp(self.bias)
                 between -= 1
-            (p00, p01), (p10, p11) = self.powers[min(between, _REACH)]
+            (p00, p01), (p10, p11) = self.power(between)
             a0, a1 = a0 * p00 + a1 * p10, a0 * p01 + a1 * p11
             if p:
                 a0, a1 = a0 * t[0, 0] + a1 * t[1, 0], a0 * t[0, 1] + a1 * t[1, 1]
@@ -85,7 +107,7 @@ class ToxicField:
         last = n
         for k in range(len(hits) - 1, -1, -1):
             p, _ = hits[k]
-            (p00, p01), (p10, p11) = self.powers[min(last - p - 1, _REACH)]
+            (p00, p01), (p10, p11) = self.power(last - p - 1)
             if last < n:
                 e1 = math.exp(min(30.0, max(-30.0, hits[k + 1][1])))
                 c0, c1 = t[0, 0] * b0 + t[0, 1] * e1 * b1, t[1, 0] * b0 + t[1, 1] * e1 * b1
@@ -120,7 +142,8 @@ class ToxicField:
 
     @staticmethod
     def evidence(p: list[float]) -> float:
-        return math.log(1e-6 + sum(-math.log1p(-min(x, 1 - 1e-9)) for x in p))
+        """Of a whole text; words below _FLOOR say nothing, or many of them would in long clean texts."""
+        return math.log(1e-6 + sum(-math.log1p(-min(x, 1 - 1e-9)) for x in p if x >= _FLOOR))
 
     def score(self, p: list[float]) -> float:
         a, c = self.curve
@@ -129,16 +152,16 @@ class ToxicField:
 
 def fit_toxic(texts: list[str], labels: list[int], negative_weight: float = 1.0, steps: int = 80) -> ToxicField | None:
     """Fits on labelled texts; negative_weight: unlabelled share of class 0 that each of its texts stands for."""
-    seqs = [_WORD.findall(t[:SAMPLE_CHARS].lower()) for t in texts]
-    # copies would make any word of theirs look like evidence: one text for each least hash of three words
-    sketch = [min((zlib.crc32(" ".join(s[i : i + 3]).encode()) for i in range(max(1, len(s) - 2))), default=0) for s in seqs]
+    seqs = [_WORD.findall(t.lower()) for t in texts]
+    # copies would make any word of theirs look like evidence: one text for each label and pair of least hashes of three words
+    sketch = [(y, *heapq.nsmallest(2, {zlib.crc32(" ".join(s[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(s) - 2))})) for s, y in zip(seqs, labels)]
     first = sorted({x: i for i, x in reversed(list(enumerate(sketch)))}.values())
     seqs, texts, labels = [seqs[i] for i in first], [texts[i] for i in first], [labels[i] for i in first]
     pos, neg = Counter(), Counter()
     n1 = sum(labels)
     if not n1 or n1 == len(labels):
         return None
-    least = max(4, n1 // 100)
+    least = max(LEAST, math.floor(LEAST_SHARE * n1))
     for s, y in zip(seqs, labels):
         if y:
             pos.update({f for w in set(s) for f in word_features(w)})
@@ -146,11 +169,9 @@ def fit_toxic(texts: list[str], labels: list[int], negative_weight: float = 1.0,
     for s, y in zip(seqs, labels):
         if not y:
             neg.update({f for w in set(s) for f in word_features(w) if f in pos})
-    precision = {f: (c - 1) / (c + 1 + negative_weight * neg[f]) for f, c in pos.items() if c >= least}
+    precision = {f: (c - 1) / (c + 1 + negative_weight * neg[f]) for f, c in pos.items()}
     strong = {f for f, x in precision.items() if x >= 0.8}
     used = strong | {f for f, x in precision.items() if x >= 0.5}
-    used = set(sorted(used, key=lambda f: (-pos[f] * precision[f], f))[:5000])
-    strong &= used
     feats: dict[str, int] = {f: i for i, f in enumerate(sorted(used))}
     cache: dict[str, tuple[list[int], bool]] = {}
 
@@ -165,12 +186,15 @@ def fit_toxic(texts: list[str], labels: list[int], negative_weight: float = 1.0,
     rows, cols, tags, weight = [], [], [], []
     n = 0
     for s, y in zip(seqs, labels):
-        at = [i for i, w in enumerate(s) if of(w)[0]][:8] or [min(_WINDOW, len(s) // 2)]
+        at = [i for i, w in enumerate(s) if of(w)[0]] or [min(_WINDOW, len(s) // 2)]
+        seen = -1
         for i in at:
-            a = max(0, min(i - _WINDOW, len(s) - width))
-            part = s[a : a + width]
-            if len(part) < width:
+            if i <= seen:  # inside the window before
                 continue
+            a = max(0, min(i - _WINDOW, len(s) - width))
+            seen = a + width - 1
+            # shorter texts are filled up with words without a feature
+            part = s[a : a + width] + [""] * max(0, width - len(s))
             for j, w in enumerate(part):
                 f, st = of(w)
                 rows.extend([n * width + j] * len(f))
@@ -241,17 +265,23 @@ def held_out(key: Column) -> Column:
 
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicField | None:
-    """Fits on a bounded sample of the rows that are not held out."""
-    named = labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
+    """Fits on a bounded sample of the rows that are not held out; None without rows of both classes.
+
+    Rows with null keys, labels or texts are left out; of rows of one key that
+    of least text hash counts, a repeated label once; an empty table on either
+    side gives None; other columns are ignored, whatever their names.
+    """
+    named = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where(F.col("k").isNotNull() & ~held_out(F.col("k")))
     total = {r["y"]: r["count"] for r in named.groupBy("y").count().collect() if r["y"] is not None}
 
     def sample(y: int, n: int) -> DataFrame:
         return named.where(F.col("y") == y).dropDuplicates(["k"]).orderBy(F.xxhash64("k", F.lit("toxic")), "k").limit(n)
 
-    # bounded: at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE ids, and their texts' heads
+    # bounded: at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE ids, and one text for each
     ids = sample(1, SAMPLE_POSITIVE).unionByName(sample(0, SAMPLE_NEGATIVE))
-    got = docs.join(F.broadcast(ids), F.col(id_col) == F.col("k")).select("k", "y", F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t")).where("t is not null").collect()
-    got.sort(key=lambda r: (r["k"], r["t"]))
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    got = rows.join(F.broadcast(ids), "k").groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).collect()
+    got.sort(key=lambda r: (r["k"], r["y"]))
     n1, n0 = sum(r["y"] for r in got), sum(1 - r["y"] for r in got)
     if not n1 or not n0:
         return None

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,7 +10,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+import xxhash
 
 from gridloom.llm import bpe, decontaminate, pii, quality, secrets_scan, shards, toxicity, url_rules
 
@@ -20,7 +23,9 @@ EDGE = [(1, None), (2, ""), (3, " \t\n"), (None, "null key"), (4, "again"), (4,
 
 def table(spark, rows, n=3):
     """Rows with further columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "x", 1, "y", 2) for i, t in rows], "doc_id long, text string, i string, t int, w string, n int").repartition(n)
+    names = ["k", "y", "h", "x", "quality", "row", "id", "s", "own", "verdict", "piece"]
+    df = spark.createDataFrame([(i, t, "x", 1, "y", 2, *range(len(names))) for i, t in rows], "doc_id long, text string, i string, t int, w string, n int, " + ", ".join(f"{c} int" for c in names))
+    return df.repartition(n)
 
 
 def prose(seed, n=60):
@@ -83,6 +88,26 @@ def test_pii(spark):
     assert (out[0]["text"], out[0]["n_chars"], out[1]["text"], out[1]["n_chars"]) == ("to <EMAIL>", 10, None, 2)
 
 
+def test_pii_spellings_of_every_kind():
+    field = pii.fit_field(["mail a.b@mail.example.com now", "call +1 (243) 555-5526 please", "at 10.2.3.4 and 4111111111111111 end"] * 8)
+    for kind, x in (("card", "4111.1111.1111.1111"), ("card", "4111/1111/1111/1111"), ("ip", "192[.]168[.]10[.]101"), ("ip", "192 . 168 . 10 . 101"), ("email", "ann [at] example.com"), ("email", "ann At mail dot com")):
+        t = f"so we sent {x} to them again"
+        assert pii.base_spans(t) == [] and pii.all_spans(t, field)[1] == [(kind, 11, 11 + len(x))], x
+    for x in ("4111.1111.1111.1112", "12/11/2024", "1234567"):
+        assert pii.all_spans(f"so we sent {x} to them again", field)[1] == [], x
+
+
+def test_pii_added_spans_meet_no_base_span():
+    r = random.Random(8)
+    field = pii.fit_field(["mail a.b@mail.example.com now"] * 8)
+    bits = ["10.2.3.4", "+1 234 567 8901", "a@b.cc", "(555) 123-4567", "4111111111111111", " ", ", ", "x"]
+    for _ in range(200):
+        t = "".join(r.choice(bits) for _ in range(r.randint(1, 20)))
+        base, both = pii.all_spans(t, field)
+        want = {s for s in field.spans(t) if not any(s[1] < e and b < s[2] for _, b, e in base)}
+        assert set(both) == set(base) | want
+
+
 def test_pii_segmentation_is_the_best_of_all():
     """The dynamic program against every segmentation."""
     r = random.Random(2)
@@ -143,6 +168,39 @@ def test_secrets(spark):
     assert secrets_scan.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_ownership_is_counted_over_all_rows(spark):
+    """Spans, n_live and n_example against counting in Python, with hot secrets, nulls and ties at both bounds."""
+    r = random.Random(12)
+    make = lambda: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789") for _ in range(24)) + "9z"
+    secrets = [make() for _ in range(30)]
+    rows = [(i, secrets[0], f"s{i}", "en") for i in range(40)] + [(100 + i, f"token={secrets[1]} and {secrets[2]}", "s1", f"l{i}") for i in range(4)]
+    for k in range(200):
+        t = " ".join(r.choice([r.choice(secrets[3:]), "word", f"secret: {r.choice(secrets[3:])}", ""]) for _ in range(r.randint(0, 6)))
+        rows.append((200 + k, t, r.choice([None, "s1", "s2", "s3"]), r.choice([None, "en", "de", "fr", "es"])))
+    rows += [(None, secrets[3], "s1", "en"), (None, None, None, None), rows[5], ("".join(["1"]) and 900, f"a {secrets[0]} " * 20_000, "s1", "en")]
+    df = spark.createDataFrame([(i, t, s, g, 1, "c") for i, t, s, g in rows], "doc_id long, text string, source string, lang string, row int, f string").repartition(5)
+    owners, repositories, found = collections.defaultdict(set), collections.defaultdict(set), []
+    for i, t, s, g in rows:
+        t = t or ""
+        base = plain_secrets(t)
+        both = [(k, a, b, 0) for k, a, b in base] + [(k, a, b, 1) for k, a, b in secrets_scan.candidates(t, base)]
+        found.append((i, both, t))
+        for k, a, b, _ in both:
+            v = secrets_scan.value_of(k, t[a:b])
+            owners[v].add(s)
+            repositories[v].add((s, g))
+    want = []
+    order = ["assign", "access", "hex"]
+    for i, both, t in found:
+        live = [len(owners[v]) <= 2 and len(repositories[v]) <= 3 for v in (secrets_scan.value_of(k, t[a:b]) for k, a, b, _ in both)]
+        kept = sorted(((a, order.index(k) if k in order else 9, b, k) for (k, a, b, new), y in zip(both, live) if y or not new))
+        want.append((i, ",".join(f"{k}:{a}:{b}" for a, _, b, k in kept), sum(live), len(live) - sum(live)))
+    got = secrets_scan.scan_secrets(df, repository_cols=("source", "lang"), owner_col="source").select("doc_id", "spans", "n_live", "n_example").collect()
+    assert sorted((tuple(x) for x in got), key=repr) == sorted(want, key=repr)
+    by = {v: (len(owners[v]), len(repositories[v])) for v in owners}
+    assert by[secrets[1]] == (1, 4) and any(o <= 2 and n > 3 for o, n in by.values()) and any(o > 2 for o, _ in by.values()) and any(o == 2 and n == 3 for o, n in by.values())
+
+
 def test_long_and_late_digit_tokens_are_candidates():
     r = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -191,7 +249,7 @@ def test_decontamination(spark, bound):
     got = decontaminate.decontaminate(table(spark, rows), bench, bound=bound).drop("items").collect()
     assert sorted((tuple(x) for x in got), key=repr) == plain_contamination(rows, items)
     kept = decontaminate.drop_contaminated(table(spark, rows), bench, bound=bound)
-    assert kept.count() == sum(not x[5] for x in plain_contamination(rows, items)) and kept.columns == ["doc_id", "text", "i", "t", "w", "n"]
+    assert kept.count() == sum(not x[5] for x in plain_contamination(rows, items)) and kept.columns == table(spark, rows).columns
 
 
 def test_empty_sides(spark):
@@ -239,6 +297,12 @@ def test_shards(spark):
     assert all(x["grown_shard"] == 8 for x in moved) and 250 < len(moved) < 650
     assert {(x["size"], x["text_crc32"]) for x in got if x["doc_id"] in (1, 2)} == {(1, 0)}
     assert {x["text_crc32"] for x in got if x["doc_id"] == 1000} == {zlib.crc32(b"same text")}
+    least = lambda i, n: min(range(n), key=lambda s: (-math.log((int(hashlib.md5(f"{i}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52), s))
+    assert all((x["shard"], x["grown_shard"]) == (least(x["doc_id"], 8), least(x["doc_id"], 9)) for x in got if x["doc_id"] is not None)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    again = shards.shard(table(spark, rows, 5)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
     heavy = shards.shard(table(spark, rows), weights=[1, 1, 2]).collect()
     n = collections.Counter(x["shard"] for x in heavy)
     assert 1800 < n[2] < 2200
@@ -264,6 +328,30 @@ def test_quality(spark):
     got = quality.quality(df, model).collect()
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     assert sorted((tuple(x[c] for c in cols) for x in got), key=repr) == sorted(((i, *plain_quality(t)) for i, t in rows), key=repr)
+    xx = lambda s, seed=42: xxhash.xxh64_intdigest(s.encode(), seed=seed % 2**64)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+
+    def buckets(t):
+        split = lambda s: [x for x in re.split(r"[\x20\x09-\x0D]+", s) if x]
+        shape = regex.sub(r"\p{Nd}+", "0", regex.sub(r"\p{Lu}{2,}", "AA", regex.sub(r"\p{Ll}+", "a", t or "")))
+        sh = split(shape)
+        pairs = [xx(b, xx(a)) for a, b in zip(sh, sh[1:])] + [xx(sh[-1])] if sh else []
+        return [signed(xx(x)) % quality.BUCKETS for x in split(t or "")], [quality.BUCKETS + signed(v) % quality.BUCKETS for v in pairs]
+
+    counts = [collections.Counter(), collections.Counter()]
+    good = {400 + k for k in range(40)}
+    for i, t in rows:
+        for b in buckets(t):
+            counts[0].update(b)
+            counts[1].update(b if i in good else [])
+    total = [[sum(c[b] + 1 for b in range(h * quality.BUCKETS, (h + 1) * quality.BUCKETS)) for h in range(2)] for c in counts]
+    ratio = lambda b: math.log((counts[1][b] + 1) / total[1][b // quality.BUCKETS]) - math.log((counts[0][b] + 1) / total[0][b // quality.BUCKETS])
+    text = dict(rows)
+    for x in got:
+        if x["doc_id"] and x["doc_id"] >= 100:
+            one, two = buckets(text[x["doc_id"]])
+            assert x["llr"] == pytest.approx(sum(map(ratio, one + two)) / (2 * len(one)) if one else 0.0, abs=1e-4)
+        assert x["kept"] == (not x["base_failed"] and x["llr"] >= model.threshold)
     for x in got:
         assert x["base_failed"] == (x["n_words"] < 10 or 100 * x["n_repeat_words"] > 20 * x["n_words"]) and not (x["base_failed"] and x["kept"])
         if x["doc_id"] and x["doc_id"] >= 400 and not x["base_failed"]:
@@ -299,6 +387,33 @@ def test_toxicity(spark):
     assert all(re.match("vilge|grob", text[0][int(a) : int(b)]) for a, b in (s.split(":") for s in one["offsets"].split(",")))
 
 
+def test_toxic_short_texts_and_late_passages(spark):
+    """Texts below a window are fitted, and toxic words far beyond the first thousands of words count; equal keys count once."""
+    r = random.Random(5)
+    word = lambda: r.choice(["oran", "mel", "tiva", "sor"]) + r.choice(["bend", "lup", "kara", "nit"])
+    rows = [(k, " ".join([word() for _ in range(14)] + (["vilge"] if k % 2 else []))) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)] + [(7, 1), (None, 1)], "doc_id long, toxic int")
+    late = " ".join(word() for _ in range(30_000)) + " vilge vilge"
+    df = table(spark, rows + rows[:20] + [(1000, late), (1001, late[:-12])])
+    field = toxicity.fit_on_sample(df, labels)
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(df, field).collect()}
+    assert all(got[k] == k % 2 for k in range(400)) and got[1000] == 1 and got[1001] == 0
+    s = field.score([])
+    assert toxicity.score_toxicity(table(spark, [(1, ""), (2, None)]), field).select("score").distinct().first()[0] == s
+
+
+def test_marginals_over_long_gaps():
+    f = toxicity.ToxicField({}, -0.02, np.array([[3.0, -2.0], [-2.0, 3.0]]), (1, 0))
+    n, hits = 401, [(0, 2.0), (400, -1.0)]
+    a = np.array([1.0, math.exp(2.0)])
+    step = f.trans * np.array([1.0, math.exp(-0.02)])
+    for _ in range(399):
+        a = a @ step
+        a /= a.sum()
+    end = (a @ f.trans) * np.array([1.0, math.exp(-1.0)])
+    assert f.marginals(n, hits)[1] == pytest.approx(end[1] / end.sum(), rel=1e-9)
+
+
 def test_marginals_are_exact():
     import itertools
     import math
