@@ -32,11 +32,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import NULL_ID, WordHashes, cut, few, mix, release
+from .common import WordHashes, cut, few, fresh, mix, release
 from .components import connected_components
 
 #: What a chance agreement costs, in signatures to index, for the cost model.
@@ -273,22 +274,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Two records link when ``100 * |intersection| >= percent * |union|`` of their
     shingle sets; A-Z are lowered. ``component_id`` is the least key reachable
     by links, ``n_links`` the number of other records linked. Null texts and
-    texts without words have no shingles and link with nothing. Null keys count
-    as the largest and stay null; a component of null keys only has a null id.
-    Repeated rows link like other copies. An empty table gives an empty result;
-    other columns are ignored; texts are read whole.
+    texts without words have no shingles and link with nothing. Keys may be of
+    any type that has an order; null ones count as the largest and stay null; a
+    component of null keys only has a null id. Repeated rows link like other
+    copies. An empty table gives an empty result; other columns are ignored;
+    texts are read whole, and known by a 128-bit hash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("t"))
+    t = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), t.alias("t"), F.xxhash64(t).alias("x"), F.xxhash64(F.lit(1), t).alias("y"))
 
-    def sizes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for pdf in batches:
-            sets = [shingles(t, hashes, n) for t in pdf["t"]]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "node": [digest(s) for s in sets], "cells": [cells(s) for s in sets]})
-
-    base = cut(rows.mapInPandas(sizes_of, "id long, n long, node binary, cells binary"))
-    nodes = base.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
+        for batch in batches:
+            sets = [shingles(t, hashes, n) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("id", "x", "y")], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([cells(s) for s in sets], pa.binary())],
+                ["id", "x", "y", "n", "node", "cells"],
+            )
+
+    base = cut(rows.mapInArrow(sizes_of, f"id {kind}, x long, y long, n long, node binary, cells binary"))
+    nodes = base.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min(F.struct("x", "y")).alias("text"), F.count("*").alias("copies"))
     band_of = F.lit(0)
     for i, end in enumerate(band_ends(1 << 40)[:-1]):
         band_of = band_of + (F.col("n") > end).cast("int")
@@ -348,17 +354,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chain = candidate_edges()
     release(docs.sparkSession)
     families = connected_components(chain)
-    member = cut(families.join(nodes, "node").select("node", F.col("root").alias("family"), "rep", "n", "copies"))
+    member = cut(families.join(nodes, "node").select("node", F.col("root").alias("family"), "n", "copies", "text.x", "text.y"))
     blocks = member.groupBy("family").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k")
     )
     def verified_links() -> DataFrame:
         """Written to the shared folder as well."""
-        # the text of one record for each node; records of equal key but other texts are told apart by the digest
+        # one text for each node; only the members' texts are shuffled if their keys are few enough
         placed = member.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        # only the members' texts are shuffled if their keys are few enough
-        theirs = rows.join(few(member.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-        texts = theirs.join(placed, theirs["id"] == placed["rep"]).select("family", "node", "copies", "own", "k", "t")
+        theirs = rows.join(few(member.select("x", "y").distinct()), ["x", "y"], "left_semi").groupBy("x", "y").agg(F.first("t").alias("t"))
+        texts = theirs.join(placed, ["x", "y"]).select("family", "node", "copies", "own", "k", "t")
         dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
             "family", "node", "copies", "own", "t", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
         )
@@ -409,10 +414,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "node", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     known = cut(known)
-    done = base.drop("cells").join(known, "node", "left")
-    null = lambda c: F.when(c != NULL_ID, c).cast(kind)
-    return done.select(
-        null(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null(F.coalesce("component", "id")).alias("component_id"),
+    return base.select("id", "n", "node").join(known, "node", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
@@ -421,11 +424,11 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", n: int = 5, pe
     """One record of each group of linked records, with all its columns; records without words all stay.
 
     Records are told apart by their place in the input, so null and repeated
-    keys need no care; the input must read alike each time, as a table does.
+    keys need no care; the input must read alike each time, as a table does. Null
+    and empty texts stay, of repeated rows one stays, an empty table gives an
+    empty result, other columns pass whatever their names.
     """
-    name = "row"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "row")
     rows = docs.withColumn(name, F.monotonically_increasing_id())
     gone = jaccard_groups(rows, name, text_col, n, percent).where(F.col(name) != F.col("component_id")).select(name)
-    return rows.join(few(gone), name, "left_anti").drop(name)
+    return rows.join(few(gone), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,7 +13,7 @@ def brute(rows, n, percent):
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
         k = min(n, len(w))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set())
-    ids = [i if i is not None else 2**63 - 1 for i, _ in rows]
+    ids = [i if i is not None else 2**63 for i, _ in rows]
     top = list(range(len(rows)))
 
     def find(x):
@@ -32,7 +32,7 @@ def brute(rows, n, percent):
     least = {}
     for a in range(len(rows)):
         least[find(a)] = min(least.get(find(a), ids[a]), ids[a])
-    none = lambda x: None if x == 2**63 - 1 else x
+    none = lambda x: None if x == 2**63 else x
     return sorted(((rows[a][0], len(sets[a]), none(least[find(a)]), links[a]) for a in range(len(rows))), key=repr)
 
 
@@ -67,6 +67,46 @@ def test_same_as_all_pairs(spark, n, percent, common, monkeypatch):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, n, percent)
 
 
+def test_other_keys_and_huge_sets(spark):
+    """String keys, the largest key beside null ones, and texts that are one huge set each."""
+    r = random.Random(3)
+    rows = made(4)
+    df = spark.createDataFrame([(None if i is None else f"k{i}", t, 1, "x") for i, t in rows], "doc_id string, text string, x int, node string")
+    got = jaccard_groups(df, n=3, percent=90).collect()
+    number = {None if i is None else f"k{i}": i for i, _ in rows}
+    want = brute(rows, 3, 90)
+    groups = lambda pairs: {tuple(sorted(v, key=repr)) for v in pairs.values()}
+    a, b = {}, {}
+    for x in got:
+        a.setdefault(x["component_id"], []).append((number[x["doc_id"]], x["n_shingles"], x["n_links"]))
+    for i, m, c, links in want:
+        b.setdefault(c, []).append((i, m, links))
+    assert groups(a) == groups(b)
+    big = [f"w{r.randrange(10**9)}" for _ in range(60_000)]
+    edge = [(2**63 - 1, " ".join(big)), (None, " ".join(big[:59_000])), (5, " ".join(big[::-1])), (2**63 - 1, "a b c d"), (None, "a b c d")]
+    df = spark.createDataFrame(edge, "doc_id long, text string")
+    assert sorted((tuple(x) for x in jaccard_groups(df, n=3, percent=90).collect()), key=repr) == brute(edge, 3, 90)
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    import gridloom.llm.components as c
+
+    monkeypatch.setattr(c, "HUBS", 5)
+    r = random.Random(1)
+    edges = [(0, k) for k in range(1, 300)] + [(1000 + k, 1001 + k) for k in range(60)] + [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(250)] + [(7, 7), (0, 1)]
+    top = {}
+
+    def find(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        top[max(find(a), find(b))] = min(find(a), find(b))
+    got = c.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x["node"]: x["root"] for x in got} == {x: find(x) for e in edges if e[0] != e[1] for x in e} and len(got) == len({x["node"] for x in got})
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_groups(df).count() == 0
