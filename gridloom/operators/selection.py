@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import EPSILON, Box, area, box, literal_box
+from ..functions.geometry import POINT, Shape, box_wkb, refine_udf
 from ..functions.predicates import FILTER_TEST, Predicate, box_test, exact
 
 
@@ -23,6 +24,8 @@ class Option(IntEnum):
     FILTER_ONLY = 2
 
 
+#: The tolerant tests of CONTAINS and COVERS would drop objects near the border that the exact ones keep.
+REFINED_TEST = {Predicate.CONTAINS: Predicate.CONTAINS_OR_COVERS, Predicate.COVERS: Predicate.CONTAINS_OR_COVERS}
 #: Cells a side of the finest grid, and its levels (each twice as coarse as the one before).
 GRID_CELLS, GRID_LEVELS = 64, 7
 
@@ -62,9 +65,36 @@ def spatial_query(
     if p == Predicate.DISJOINT:
         met = box_test(w, box(), Predicate.INTERSECTS, eps) & exact(w, box(), Predicate.INTERSECTS)
         return data.where(~met)
-    # CONTAINS and COVERS of a selection: the tolerant test would drop objects near the border that the exact one keeps
-    test = {Predicate.CONTAINS: Predicate.CONTAINS_OR_COVERS, Predicate.COVERS: Predicate.CONTAINS_OR_COVERS}.get(p, FILTER_TEST[p])
-    return data.where(box_test(w, box(), test, eps) & exact(w, box(), p))
+    return data.where(box_test(w, box(), REFINED_TEST.get(p, FILTER_TEST[p]), eps) & exact(w, box(), p))
+
+
+def geometry_query(data: DataFrame, kind: QueryType, search: bytes, predicate: Predicate, option: Option = Option.FILTER_AND_REFINE, eps: float = EPSILON, shortcut: bool = True) -> DataFrame:
+    """The objects (with a column wkb beside their boxes) that the search geometry relates to (search *predicate* object).
+
+    The box test is a column predicate in the scan; only what passes it reaches
+    the exact test on the geometries. A range query takes the search object's
+    box, and is answered by the box test for CONTAINS and COVERS. With
+    ``shortcut`` a point and a polygon are compared by one point location, in
+    which the border counts as in. DISJOINT is the complement of what
+    intersects; objects without a geometry are in no result.
+    """
+    kind, p, option = QueryType(kind), Predicate(predicate), Option(option)
+    shape = Shape.of(search)
+    ends = shape.bounds()
+    if ends is None:
+        raise ValueError("the search object is empty")
+    if kind == QueryType.POINT and shape.kind != POINT:
+        raise ValueError("a point query needs a point")
+    if kind == QueryType.RANGE:
+        search = box_wkb(*ends)
+    w = literal_box(*ends)
+    if option == Option.FILTER_ONLY or (kind == QueryType.RANGE and p in (Predicate.CONTAINS, Predicate.COVERS)):
+        return candidates(data, w, p, eps)
+    if p == Predicate.DISJOINT:
+        met = candidates(data, w, Predicate.INTERSECTS, eps).where(refine_udf(search, Predicate.INTERSECTS, shortcut)("wkb"))
+        return complement(data.where(F.col("wkb").isNotNull()), met)
+    test = REFINED_TEST.get(p, FILTER_TEST[p])
+    return data.where(box_test(w, box(), test, eps)).where(refine_udf(search, p, shortcut)("wkb"))
 
 
 def complement(data: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
@@ -110,7 +140,7 @@ def batch_query(data: DataFrame, queries: DataFrame, predicate: Predicate = Pred
     lv = F.col("level")
     q = q.withColumn("cx", F.explode(F.sequence(at(clip(F.col("q_xmin") - eps, x0, x1), x0, sx, lv) - 1, at(clip(F.col("q_xmax") + eps, x0, x1), x0, sx, lv))))
     q = q.withColumn("cy", F.explode(F.sequence(at(clip(F.col("q_ymin") - eps, y0, y1), y0, sy, lv) - 1, at(clip(F.col("q_ymax") + eps, y0, y1), y0, sy, lv))))
-    pairs = objects.join(q, ["level", "cx", "cy"]).where(box_test(box("q_"), box(), FILTER_TEST[p], eps))
+    pairs = objects.join(q, ["level", "cx", "cy"]).where(box_test(box("q_"), box(), REFINED_TEST.get(p, FILTER_TEST[p]) if refine else FILTER_TEST[p], eps))
     if refine:
         pairs = pairs.where(exact(box("q_"), box(), p))
     return pairs.select("qid", "id")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..functions.boxes import EPSILON, area, box, center_distance2, expansion, literal_box, margin, node_capacity, overlap_area, to_wkt, union
 from ..functions.predicates import Predicate
 from ..operators import flash, oplog, packing, selection, traces, trees, tuned_buffers, workloads, write_buffers
@@ -26,6 +27,16 @@ SQL_DATA = {
     "event_pts": "SELECT event_id AS id, user_id::DOUBLE AS xmin, value AS ymin, user_id::DOUBLE AS xmax, value AS ymax FROM events",
 }
 
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
 #: Windows over the orders' rectangles: an edge touch, a point, a line, one apart, one around all, and ordinary ones.
 WINDOWS = [
     (1, 100, 50000, 300, 150000), (2, 10, 100000, 20, 101000), (3, 500, 200000, 900, 200500), (4, 50, 60000, 50, 60000), (5, 700, 90000, 700, 240000),
@@ -89,6 +100,27 @@ def sql_exact(p: Predicate, a: str, b: str) -> str:
     raise ValueError(p)
 
 
+#: Windows made of an object's box: strictly inside it, its lower quarter, itself, itself and more above, its centre, its corner.
+MADE = {
+    "inner": ("xmin + (xmax - xmin) * 0.25", "ymin + (ymax - ymin) * 0.25", "xmax - (xmax - xmin) * 0.25", "ymax - (ymax - ymin) * 0.25"),
+    "quarter": ("xmin", "ymin", "xmin + (xmax - xmin) * 0.5", "ymin + (ymax - ymin) * 0.5"),
+    "same": ("xmin", "ymin", "xmax", "ymax"),
+    "more": ("xmin", "ymin", "xmax + 100", "ymax + 5000"),
+    "centre": ("(xmin + xmax) * 0.5", "(ymin + ymax) * 0.5", "(xmin + xmax) * 0.5", "(ymin + ymax) * 0.5"),
+    "corner": ("xmax", "ymax", "xmax", "ymax"),
+}
+
+
+def made_windows(data: DataFrame, rule: str, first: int, base: int = 0) -> DataFrame:
+    """Windows (qid, box) made of the objects with the least ids."""
+    return data.orderBy("id").limit(first).select((F.col("id") + base).cast("int").alias("qid"), *[F.expr(e).cast("double").alias(c) for e, c in zip(MADE[rule], ("xmin", "ymin", "xmax", "ymax"))])
+
+
+def made_sql(data: str, rule: str, first: int, base: int = 0) -> str:
+    cols = ", ".join(f"({e})::DOUBLE AS q{c}" for e, c in zip(MADE[rule], ("xmin", "ymin", "xmax", "ymax")))
+    return f"SELECT (id + {base})::INTEGER AS qid, {cols} FROM (SELECT * FROM ({SQL_DATA[data]}) ORDER BY id LIMIT {first})"
+
+
 def _window_sql(w: tuple) -> str:
     return "SELECT " + ", ".join(f"{float(v)!r}::DOUBLE AS q{c}" for c, v in zip(("xmin", "ymin", "xmax", "ymax"), w))
 
@@ -97,9 +129,13 @@ def _objects_sql(data: str) -> str:
     return f"SELECT id, xmin AS oxmin, ymin AS oymin, xmax AS oxmax, ymax AS oymax FROM ({SQL_DATA[data]})"
 
 
-def _add_selection(name: str, data: str, kind: selection.QueryType, window: tuple, p: Predicate, option: selection.Option = selection.Option.FILTER_AND_REFINE) -> None:
+def _add_selection(name: str, data: str, kind: selection.QueryType, window: tuple | str, p: Predicate, option: selection.Option = selection.Option.FILTER_AND_REFINE) -> None:
+    """window: a box, or a rule of MADE for the object with the least id."""
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return selection.spatial_query(datasets.load(spark, folder, data), kind, window, p, option).select("id")
+        objects = datasets.load(spark, folder, data)
+        w = tuple(made_windows(objects, window, 1).first())[1:] if isinstance(window, str) else window
+        return selection.spatial_query(objects, kind, w, p, option).select("id")
 
     P = Predicate
     filt = {P.OVERLAP: P.INTERSECTS, P.MEET: P.INTERSECTS, P.DISJOINT: P.INTERSECTS, P.INSIDE: P.INSIDE_OR_COVEREDBY, P.COVEREDBY: P.INSIDE_OR_COVEREDBY}.get(p, p)
@@ -108,15 +144,91 @@ def _add_selection(name: str, data: str, kind: selection.QueryType, window: tupl
     else:
         test = sql_exact(p, "q", "o")
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"SELECT id FROM ({_objects_sql(data)}), ({_window_sql(window)}) WHERE {test}"
+    asked = made_sql(data, window, 1) if isinstance(window, str) else _window_sql(window)
+    ORACLE_SQL[name] = f"SELECT id FROM ({_objects_sql(data)}), ({asked}) WHERE {test}"
+
+
+#: Where an ordinary window would find nothing, one made of an object.
+_ASKED = {Predicate.INSIDE: "inner", Predicate.COVEREDBY: "quarter", Predicate.COVERS: "more", Predicate.EQUAL: "same"}
+for _p in list(Predicate)[:9]:
+    _w = _ASKED.get(_p, ORDER_WINDOW)
+    _add_selection(f"range_{_p.name.lower()}", "order_rects", selection.QueryType.RANGE, _w, _p)
+    _add_selection(f"select_{_p.name.lower()}", "order_rects", selection.QueryType.SELECTION, _w, _p)
+    _add_selection(f"filter_{_p.name.lower()}", "order_rects", selection.QueryType.SELECTION, _w, _p, selection.Option.FILTER_ONLY)
+for _p, _data, _w in (
+    (Predicate.INTERSECTS, "part_pts", "same"), (Predicate.MEET, "order_rects", "corner"), (Predicate.INSIDE, "order_rects", "centre"), (Predicate.COVEREDBY, "order_rects", "corner"),
+    (Predicate.DISJOINT, "order_rects", "centre"), (Predicate.EQUAL, "part_pts", "same"),
+):
+    _add_selection(f"point_{_p.name.lower()}", _data, selection.QueryType.POINT, _w, _p)
+def as_geometries(data: DataFrame) -> DataFrame:
+    """A dataset with its boxes as WKB beside them."""
+    b = ("xmin", "ymin", "xmax", "ymax")
+    return datasets.from_frame(data.select("id", *b, geometry.box_wkb_udf(*b).alias("geom")), "id", "geom", b)
+
+
+@query("geometry_bounds", f"SELECT * FROM ({SQL_DATA['order_rects']} UNION ALL {SQL_DATA['part_pts']})")
+def geometry_bounds(spark, folder):
+    """Boxes computed from geometries."""
+    both = datasets.load(spark, folder, "order_rects").unionByName(datasets.load(spark, folder, "part_pts"))
+    return datasets.from_frame(both.select("id", geometry.box_wkb_udf("xmin", "ymin", "xmax", "ymax").alias("geom")), "id", "geom").drop("wkb")
+
+
+def _add_geometry(name: str, kind: selection.QueryType, window: tuple | str, p: Predicate, option: selection.Option = selection.Option.FILTER_AND_REFINE) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        objects = datasets.load(spark, folder, "order_rects")
+        w = tuple(made_windows(objects, window, 1).first())[1:] if isinstance(window, str) else window
+        return selection.geometry_query(as_geometries(objects), kind, geometry.box_wkb(*w), p, option, shortcut=False).select("id")
+
+    QUERIES[name] = run
+    asked = made_sql("order_rects", window, 1) if isinstance(window, str) else _window_sql(window)
+    test = sql_exact(p, "q", "o") if option == selection.Option.FILTER_AND_REFINE else sql_box(Predicate.INTERSECTS, "q", "o")
+    ORACLE_SQL[name] = f"SELECT id FROM ({_objects_sql('order_rects')}), ({asked}) WHERE {test}"
 
 
 for _p in list(Predicate)[:9]:
-    _add_selection(f"range_{_p.name.lower()}", "order_rects", selection.QueryType.RANGE, ORDER_WINDOW, _p)
-    _add_selection(f"select_{_p.name.lower()}", "order_rects", selection.QueryType.SELECTION, ORDER_WINDOW, _p)
-    _add_selection(f"filter_{_p.name.lower()}", "order_rects", selection.QueryType.SELECTION, ORDER_WINDOW, _p, selection.Option.FILTER_ONLY)
-for _p in (Predicate.INTERSECTS, Predicate.MEET, Predicate.INSIDE, Predicate.COVEREDBY, Predicate.DISJOINT, Predicate.EQUAL):
-    _add_selection(f"point_{_p.name.lower()}", "part_pts", selection.QueryType.POINT, (20.0, 950.0, 20.0, 950.0), _p)
+    _add_geometry(f"geometry_{_p.name.lower()}", selection.QueryType.SELECTION, _ASKED.get(_p, ORDER_WINDOW), _p)
+_add_geometry("geometry_filter", selection.QueryType.SELECTION, ORDER_WINDOW, Predicate.OVERLAP, selection.Option.FILTER_ONLY)
+for _p, _w in ((Predicate.INTERSECTS, "centre"), (Predicate.MEET, "corner"), (Predicate.INSIDE, "centre")):
+    _add_geometry(f"geometry_point_{_p.name.lower()}", selection.QueryType.POINT, _w, _p)
+
+#: Diamonds around the orders, and a diamond and a point that ask about them; all coordinates are whole, so both sides are exact.
+_DIAMONDS = "SELECT o_orderkey AS id, o_custkey AS x, floor(o_totalprice / 100)::BIGINT AS y, 1 + o_orderkey % 7 AS rx, 1 + o_orderkey % 11 AS ry FROM orders"
+
+
+def _diamonds(spark, folder) -> DataFrame:
+    o = spark.read.parquet(f"{folder}/orders.parquet")
+    y = F.floor(F.col("o_totalprice") / 100).cast("double")
+    wkb = geometry.diamond_wkb_udf(F.col("o_custkey").cast("double"), y, (1 + F.col("o_orderkey") % 7).cast("double"), (1 + F.col("o_orderkey") % 11).cast("double"))
+    return datasets.from_frame(o.select(F.col("o_orderkey").alias("id"), wkb.alias("geom")), "id", "geom")
+
+
+def _add_diamond(name: str, p: Predicate, test: str, at: str = "x", shortcut: bool = True) -> None:
+    """at: where the point lies in the diamond with the least id."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        data = _diamonds(spark, folder)
+        b = data.orderBy("id").first()
+        cx, cy = (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
+        point = geometry.encode(geometry.POINT, (b["xmax"] if at == "x + rx" else cx, cy))
+        return selection.geometry_query(data, selection.QueryType.SELECTION, point, p, shortcut=shortcut).select("id")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH d AS ({_DIAMONDS}), p AS (SELECT {at} AS px, y AS py FROM d ORDER BY id LIMIT 1) SELECT id FROM (SELECT id, abs(px - x) * ry + abs(py - y) * rx AS d, rx * ry AS r FROM d, p) WHERE {test}"
+
+
+_add_diamond("diamond_point_shortcut", Predicate.INTERSECTS, "d <= r", "x + rx")
+_add_diamond("diamond_point_inside_shortcut", Predicate.INSIDE, "d <= r", "x + rx")
+_add_diamond("diamond_point_intersects", Predicate.INTERSECTS, "d <= r", "x + rx", False)
+_add_diamond("diamond_point_inside", Predicate.INSIDE, "d < r", "x", False)
+_add_diamond("diamond_point_meet", Predicate.MEET, "d = r", "x + rx", False)
+_add_diamond("diamond_point_disjoint", Predicate.DISJOINT, "d > r", "x", False)
+
+#: A vertical line from (50, 500) to (50, 2500): the nearest point of it to a diamond's centre decides.
+QUERIES["diamond_line_intersects"] = lambda spark, folder: selection.geometry_query(
+    _diamonds(spark, folder), selection.QueryType.SELECTION, geometry.encode(geometry.LINE, [(50.0, 500.0), (50.0, 2500.0)]), Predicate.INTERSECTS
+).select("id")
+ORACLE_SQL["diamond_line_intersects"] = f"SELECT id FROM ({_DIAMONDS}) WHERE abs(50 - x) * ry + greatest(500 - y, y - 2500, 0) * rx <= rx * ry"
+
 _add_selection("range_points_intersects", "part_pts", selection.QueryType.RANGE, PART_WINDOW, Predicate.INTERSECTS)
 _add_selection("range_points_contains", "part_pts", selection.QueryType.RANGE, PART_WINDOW, Predicate.CONTAINS)
 _add_selection("range_events", "event_pts", selection.QueryType.RANGE, (20.0, 50.0, 60.0, 100.0), Predicate.INTERSECTS)
@@ -124,28 +236,25 @@ _add_selection("range_customers", "cust_pts", selection.QueryType.RANGE, (3.0, 0
 _add_selection("range_embeddings", "emb_pts", selection.QueryType.RANGE, (-0.1, -0.1, 0.1, 0.1), Predicate.INTERSECTS)
 
 
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return put
+_Q = "SELECT * FROM (VALUES " + ", ".join(f"({q}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in b) + ")" for q, *b in WINDOWS) + ") t(qid, qxmin, qymin, qxmax, qymax)"
 
 
-_Q = "SELECT * FROM (VALUES " + ", ".join(f"({q}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in b) + ")" for q, *b in WINDOWS) + ") t(qid, qxmin, qymin, qxmax, qymax)"
+_Q_MADE = _Q + "".join(f" UNION ALL {made_sql('order_rects', r, 5, 1000 * (k + 1))}" for k, r in enumerate(MADE))
 
 
 def _add_batch(p: Predicate) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return selection.batch_query(datasets.load(spark, folder, "order_rects"), workloads.windows(spark, WINDOWS), p)
+        data = datasets.load(spark, folder, "order_rects")
+        asked = workloads.windows(spark, WINDOWS)
+        for k, r in enumerate(MADE):
+            asked = asked.unionByName(made_windows(data, r, 5, 1000 * (k + 1)))
+        return selection.batch_query(data, asked, p)
 
     QUERIES[f"range_{p.name.lower()}_batch"] = run
-    ORACLE_SQL[f"range_{p.name.lower()}_batch"] = f"SELECT qid, id FROM ({_objects_sql('order_rects')}), ({_Q}) WHERE {sql_exact(p, 'q', 'o')}"
+    ORACLE_SQL[f"range_{p.name.lower()}_batch"] = f"SELECT qid, id FROM ({_objects_sql('order_rects')}), ({_Q_MADE}) WHERE {sql_exact(p, 'q', 'o')}"
 
 
-for _p in (Predicate.INTERSECTS, Predicate.OVERLAP, Predicate.MEET, Predicate.COVEREDBY, Predicate.INSIDE):
+for _p in (Predicate.INTERSECTS, Predicate.OVERLAP, Predicate.MEET, Predicate.COVEREDBY, Predicate.INSIDE, Predicate.CONTAINS, Predicate.COVERS, Predicate.EQUAL):
     _add_batch(_p)
 
 _COUNTS = f"""SELECT qid, (SELECT count(*) FROM ({_objects_sql('order_rects')}) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}) AS cand_num,

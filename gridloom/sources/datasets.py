@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,14 +48,19 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return DATASETS[name].load(spark, folder)
 
 
-def from_frame(df: DataFrame, key: str, geometry: str | None = None, bounds: Callable | None = None) -> DataFrame:
-    """A dataset from a table with a WKB column: the geometry is kept and its box computed."""
+def from_frame(df: DataFrame, key: str, geometry: str, bounds: tuple[str, str, str, str] | None = None) -> DataFrame:
+    """A dataset from a table with a WKB column: the geometry is kept, and its box computed if the table has none in ``bounds``.
+
+    Null and empty geometries have a box of nulls, which no box test passes.
+    """
     from ..functions.geometry import bounds_udf
 
-    box = bounds_udf(F.col(geometry))
-    return df.select(F.col(key).cast("long").alias("id"), F.col(geometry).alias("wkb"), box.alias("b")).select(
-        "id", "wkb", *[F.col(f"b.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
-    )
+    names = ("xmin", "ymin", "xmax", "ymax")
+    if bounds:
+        return df.select(F.col(key).cast("long").alias("id"), F.col(geometry).alias("wkb"), *[F.expr(e).cast("double").alias(c) for e, c in zip(bounds, names)])
+    # not deterministic as far as the planner goes: box tests are then made on computed boxes, before any exact test
+    box = bounds_udf.asNondeterministic()(F.col(geometry))
+    return df.select(F.col(key).cast("long").alias("id"), F.col(geometry).alias("wkb"), box.alias("b")).select("id", "wkb", *[F.col(f"b.{c}").alias(c) for c in names])
 
 
 def page_trace(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,7 @@ from gridloom.operators import flash, oplog, packing, selection, traces, workloa
 from gridloom.operators.splits import SPLITS
 from gridloom.operators.trees import make_tree, run_workload
 from gridloom.plans import schema
+from gridloom.sources import datasets
 
 E = 1e-5
 PAIRS = [
@@ -319,3 +320,50 @@ def test_split_report_names_what_it_skips(spark):
     assert set(got) == {(k, name) for k in (1, 2) for name in trees.SPLITS}
     assert all((x["n_left"] is None) == (x["area"] is None) == (x["overlap"] is None) == (key == (2, "exponential")) for key, x in got.items())
     assert got[1, "exponential"]["n_left"] + got[1, "exponential"]["n_right"] == 12
+
+
+def test_multiple_and_empty_geometries(spark):
+    """Multi-points, multi-lines, collections and empty geometries against tests on their parts."""
+    sh = lambda k, p: g.Shape.of(g.encode(k, p))
+    square = [[(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)]]
+    many = sh(g.MULTIPOINT, [(1, 1), (9, 9)])
+    assert g.relate(many, sh(g.POLYGON, square), 1) and not g.relate(many, sh(g.POLYGON, square), 6) and many.bounds() == (1, 1, 9, 9)
+    assert g.relate(sh(g.MULTIPOINT, [(1, 1), (2, 2)]), sh(g.POLYGON, square), 5)
+    lines = sh(g.MULTILINE, [[(0, 0), (2, 0)], [(2, 0), (4, 0)], [(9, 0), (9, 5)]])
+    assert lines.locate((2, 0)) == 1 and lines.locate((0, 0)) == 0 and lines.locate((9, 2)) == 1 and lines.locate((5, 5)) == -1
+    mixed = sh(g.COLLECTION, [(g.POINT, (20.0, 20.0)), (g.POLYGON, square), (g.LINE, [(5, 5), (6, 6)])])
+    assert mixed.dimension == 2 and mixed.locate((1, 1)) == 1 and mixed.locate((20, 20)) == 1 and mixed.locate((5, 5)) == 0
+    assert g.relate(mixed, sh(g.POINT, (20.0, 20.0)), 1) and g.relate(sh(g.POINT, (7.0, 7.0)), mixed, 3)
+    nothing = [sh(g.POLYGON, []), sh(g.COLLECTION, []), sh(g.MULTILINE, []), sh(g.POINT, (float("nan"), float("nan")))]
+    assert all(x.empty and x.bounds() is None and g.relate(x, mixed, 3) and not g.relate(x, mixed, 6) for x in nothing)
+    rows = [(1, g.encode(g.POLYGON, square)), (2, g.encode(g.POLYGON, [])), (3, None), (4, g.encode(g.MULTIPOINT, [(1.0, 1.0), (8.0, 8.0)]))]
+    data = datasets.from_frame(spark.createDataFrame(rows, "id long, geom binary"), "id", "geom")
+    ask = lambda p, **k: {r["id"] for r in selection.geometry_query(data, 1, g.encode(g.POINT, (1.0, 1.0)), p, **k).collect()}
+    assert ask(1) == {1, 4} and ask(3) == {2} and ask(5) == {1, 4} and ask(1, option=2) == {1, 4}
+    for kind, wkb in ((3, g.encode(g.LINE, [(0, 0), (1, 1)])), (1, g.encode(g.POLYGON, []))):
+        with pytest.raises(ValueError):
+            selection.geometry_query(data, kind, wkb, 1)
+    assert {r["id"] for r in selection.geometry_query(data, 2, g.encode(g.LINE, [(3.0, 3.0), (9.0, 9.0)]), 1).collect()} == {1, 4}
+
+
+def test_page_bridge_and_fitted_device():
+    from gridloom.operators.flash import Device, DeviceConfig, PageBridge, fitted
+
+    c = fitted(DeviceConfig(blocks=4, pages_per_block=4), 100)
+    assert c.blocks == 35 and fitted(DeviceConfig(), 10).blocks == 1024
+    large = PageBridge(Device(c), 8192)
+    large.write(3)
+    large.read(3)
+    assert list(large.pages(3)) == [12, 13, 14, 15] and (large.device.writes, large.device.reads) == (4, 4)
+    large.release(3)
+    assert large.device.live_pages() == 0
+    small = PageBridge(Device(c), 512)
+    small.write(5)
+    small.write(6)
+    assert list(small.pages(5)) == list(small.pages(6)) == [1] and (small.device.writes, small.device.reads) == (2, 1)
+    with pytest.raises(ValueError):
+        PageBridge(Device(c), 3000)
+    d = Device(c)
+    for k in range(2000):
+        d.write(k % 100)
+    assert d.live_pages() == 100 and d.erased
