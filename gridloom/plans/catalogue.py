@@ -505,19 +505,31 @@ TREES = {i + 1: {"kind": "rtree", "least": 2, "most": 6, "split": name} for i, n
 }
 
 
-def _tree_log(spark, folder, with_windows: bool) -> DataFrame:
+_HILBERT = {"kind": "hilbert", "least": 2, "most": 6, "domain": (0.0, 0.0, 64.0, 2048.0)}
+_BASES = ({"kind": "rtree", "least": 2, "most": 6}, {"kind": "rstar", "least": 2, "most": 6}, _HILBERT)
+#: Trees behind buffers: every kind with every policy of either design.
+BUFFERED = {
+    i + 1: base | {"buffer": buffer}
+    for i, (base, buffer) in enumerate(
+        [(b, {"design": "fast", "policy": p}) for b in _BASES for p in ("all", "random", "most", "most_and_oldest")]
+        + [(b, {"design": "tuned", "value": v, "read_policy": r}) for b in _BASES for v, r in (("changes", "LRU"), ("height", "HLRU"), ("area", "S2Q"), ("overlap", "2Q"))]
+    )
+}
+
+
+def _tree_log(spark, folder, with_windows: bool, kinds: dict = TREES) -> DataFrame:
     """For each tree: all parts inserted, those of an eighth deleted, then range windows asked."""
     d = datasets.load(spark, folder, "part_pts").withColumnRenamed("id", "p")
     log = d.select(F.col("p").alias("seq"), F.lit("INSERT").alias("op"), "*").unionByName(d.where("p % 8 = 3").select((F.col("p") + 10**9).alias("seq"), F.lit("DELETE").alias("op"), "*"))
     if with_windows:
         w = workloads.windows(spark, PART_WINDOWS)
         log = log.unionByName(w.select((F.col("qid") + 2 * 10**9).cast("long").alias("seq"), F.lit("QUERY").alias("op"), F.col("qid").cast("long").alias("p"), "xmin", "ymin", "xmax", "ymax"))
-    return log.withColumn("idx_id", F.explode(F.array(*[F.lit(i) for i in TREES])))
+    return log.withColumn("idx_id", F.explode(F.array(*[F.lit(i) for i in kinds])))
 
 
 PART_WINDOWS = [(1, 10, 920, 30, 960), (2, 5, 900, 5, 1000), (3, 0, 0, 60, 2000), (4, 20, 950, 20, 950), (5, 70, 0, 80, 10)]
 _LIVE_PARTS = f"SELECT * FROM ({SQL_DATA['part_pts']}) WHERE id % 8 <> 3"
-_IDX = "(VALUES " + ", ".join(f"({i})" for i in TREES) + ") i(idx_id)"
+_IDX, _BUFFERED_IDX = ("(VALUES " + ", ".join(f"({i})" for i in k) + ") i(idx_id)" for k in (TREES, BUFFERED))
 
 
 @query("grown_tree_entries", f"SELECT idx_id, id AS pointer, xmin, ymin, xmax, ymax FROM ({_LIVE_PARTS}), {_IDX}")
@@ -525,15 +537,41 @@ def grown_tree_entries(spark, folder):
     return trees.grow(_tree_log(spark, folder, False), TREES).where("node_height = 0").select("idx_id", "pointer", "xmin", "ymin", "xmax", "ymax")
 
 
-@query("grown_tree_window_counts", f"""SELECT idx_id, (row_number() OVER (PARTITION BY idx_id ORDER BY qid))::INTEGER AS nth, n FROM (SELECT idx_id, qid, (SELECT count(*) FROM (SELECT id, xmin AS oxmin, ymin AS oymin, xmax AS oxmax, ymax AS oymax FROM ({_LIVE_PARTS})) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}) AS n
-FROM (VALUES {', '.join(f"({q}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in b) + ")" for q, *b in PART_WINDOWS)}) t(qid, qxmin, qymin, qxmax, qymax), {_IDX})""")
-def grown_tree_window_counts(spark, folder):
+def _counts_sql(idx: str) -> str:
+    return f"""SELECT idx_id, (row_number() OVER (PARTITION BY idx_id ORDER BY qid))::INTEGER AS nth, n FROM (SELECT idx_id, qid, (SELECT count(*) FROM (SELECT id, xmin AS oxmin, ymin AS oymin, xmax AS oxmax, ymax AS oymax FROM ({_LIVE_PARTS})) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}) AS n
+FROM (VALUES {', '.join(f"({q}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in b) + ")" for q, *b in PART_WINDOWS)}) t(qid, qxmin, qymin, qxmax, qymax), {idx})"""
+
+
+def _window_counts(spark, folder, kinds: dict) -> DataFrame:
     from pyspark.sql import Window
 
-    asked = trees.run_workload(_tree_log(spark, folder, True), TREES).where("results is not null")
+    asked = trees.run_workload(_tree_log(spark, folder, True, kinds), kinds).where("results is not null")
     return asked.select(F.col("pe_id").alias("idx_id"), F.row_number().over(Window.partitionBy("pe_id").orderBy("rw_order")).alias("nth"), F.col("results").alias("n"))
 
 
+@query("grown_tree_window_counts", _counts_sql(_IDX))
+def grown_tree_window_counts(spark, folder):
+    return _window_counts(spark, folder, TREES)
+
+
+@query("buffered_tree_window_counts", _counts_sql(_BUFFERED_IDX))
+def buffered_tree_window_counts(spark, folder):
+    """Searches that merge what waits in the buffers."""
+    return _window_counts(spark, folder, BUFFERED)
+
+
+@query("buffered_tree_entries", f"SELECT idx_id, id AS pointer, xmin, ymin, xmax, ymax FROM ({_LIVE_PARTS}), {_BUFFERED_IDX}")
+def buffered_tree_entries(spark, folder):
+    """What the device holds after all is flushed."""
+    return trees.grow(_tree_log(spark, folder, False, BUFFERED), BUFFERED).where("node_height = 0").select("idx_id", "pointer", "xmin", "ymin", "xmax", "ymax")
+
+
+@query("buffered_tree_requests")
+def buffered_tree_requests(spark, folder):
+    """Requests that reach the device."""
+    return trees.run_workload(_tree_log(spark, folder, True, BUFFERED), BUFFERED).where("page_id >= 0").groupBy("pe_id", "op_type", "height").agg(F.count("*").alias("requests"))
+
+
 @query("grown_tree_requests_per_height")
 def grown_tree_requests_per_height(spark, folder):
     return trees.run_workload(_tree_log(spark, folder, True), TREES).groupBy("pe_id", "op_type", "height").agg(F.count("*").alias("requests"))
@@ -559,7 +597,7 @@ def _add_buffer(policy: str) -> None:
     QUERIES[f"write_buffer_{policy}"] = lambda spark, folder: write_buffers.replay(datasets.page_trace(spark, folder), write_buffers.BufferConfig(capacity=2048, policy=policy))
 
 
-for _w in ("all", "random", "most", "most_recent_least", "value"):
+for _w in ("all", "random", "most", "most_and_oldest", "value"):
     _add_buffer(_w)
 
 

@@ -246,7 +246,7 @@ def test_flash_keeps_every_page():
     assert d.writes == 600 + d.moved
 
 
-@pytest.mark.parametrize("policy", ["all", "random", "most", "most_recent_least", "value"])
+@pytest.mark.parametrize("policy", ["all", "random", "most", "most_and_oldest", "value"])
 def test_write_buffer(policy):
     r = random.Random(6)
     b = write_buffers.WriteBuffer(write_buffers.BufferConfig(capacity=600, policy=policy, oldest=0.6))
