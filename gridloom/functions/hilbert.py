@@ -7,7 +7,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The coordinate domains (xmin, ymin, xmax, ymax) of the known reference systems.
-DOMAINS = {0: (-180.0, -90.0, 180.0, 90.0), 4326: (-180.0, -90.0, 180.0, 90.0)}
+DOMAINS = {
+    0: (-180.0, -90.0, 180.0, 90.0),
+    4326: (-180.0, -90.0, 180.0, 90.0),
+    3857: (-20037508.3427892, -20037508.3430388, 20037508.3427892, 20037508.3430388),
+    2029: (309888.257034626, 4617073.21036364, 690111.742965374, 6139847.98761672),
+}
+
+
+def domain_of_srid(srid: int) -> tuple[float, float, float, float]:
+    if srid not in DOMAINS:
+        raise ValueError(f"no Hilbert domain for reference system {srid}; there are {', '.join(map(str, sorted(DOMAINS)))}")
+    return DOMAINS[srid]
 
 
 def cell(v: Column, low: float, high: float, bits: int) -> Column:

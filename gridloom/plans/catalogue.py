@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..functions.boxes import EPSILON, area, box, center_distance2, expansion, literal_box, margin, node_capacity, overlap_area, to_wkt, union
 from ..functions.predicates import Predicate
+from . import catalog, schema
 from ..operators import flash, oplog, packing, selection, traces, trees, tuned_buffers, workloads, write_buffers
 from ..operators.splits import SPLITS
 from ..sources import datasets
@@ -607,3 +608,104 @@ def _add_tuned(policy: str) -> None:
 
 for _r in tuned_buffers.READ_POLICIES:
     _add_tuned(_r)
+
+
+#: Kinds of indices by id in the catalog's queries, with the configuration that each needs.
+_KINDS = (1, 2, 3, 4, 6, 7, 8, 10)
+
+
+def _catalog(spark, folder, kinds=_KINDS, option: int = 1) -> catalog.Catalog:
+    """Indices over the parts, one of each kind, built as measured runs."""
+    c = catalog.Catalog(spark)
+    c.add_source(1, datasets.load(spark, folder, "part_pts"))
+    c.add_basic(1, 4096)
+    domain = (0.0, 0.0, 64.0, 2048.0)
+    c.add_special(1, 2, 6, domain=domain)
+    c.add_special(2, 2, 6, domain=domain, buffer={"design": "fast", "policy": "most"})
+    c.add_special(3, 2, 6, domain=domain, buffer={"design": "tuned", "value": "area", "read_policy": "2Q"})
+    c.set_execution_name("build")
+    for k in kinds:
+        c.create(k, f"/indices/kind{k}", 1, 1, {None: 1, "fast": 2, "tuned": 3}[catalog.KINDS[k][1]], flush=True, option=option)
+    return c
+
+
+_KIND_IDX = "(VALUES " + ", ".join(f"({i + 1}, {k})" for i, k in enumerate(_KINDS)) + ") i(idx_id, kind)"
+_PARTS_AS_O = f"SELECT id, xmin AS oxmin, ymin AS oymin, xmax AS oxmax, ymax AS oymax FROM ({SQL_DATA['part_pts']})"
+
+
+@query("catalog_runs", f"""SELECT {len(_KINDS)} + qid::INTEGER AS pe_id, 1 AS idx_id, 'window ' || qid AS execution_name, 'INTERSECTS' AS query_predicate,
+  (SELECT count(*) FROM ({_PARTS_AS_O}) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}) AS cand_num, (SELECT count(*) FROM ({_PARTS_AS_O}) WHERE {sql_exact(Predicate.INTERSECTS, 'q', 'o')}) AS result_num
+  FROM (VALUES {', '.join(f"({q}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in b) + ")" for q, *b in PART_WINDOWS)}) t(qid, qxmin, qymin, qxmax, qymax)
+UNION ALL SELECT idx_id, idx_id, 'build', 'INTERSECTS', 0, 0 FROM {_KIND_IDX}""")
+def catalog_runs(spark, folder):
+    """Measured builds and queries, as the catalog's table of runs has them."""
+    c = _catalog(spark, folder)
+    for q, *w in PART_WINDOWS:
+        c.set_execution_name(f"window {q}", 2)
+        c.a_query("/indices/kind1", selection.QueryType.RANGE, tuple(map(float, w)), Predicate.INTERSECTS)
+    return c.table("execution").select("pe_id", "idx_id", "execution_name", "query_predicate", "cand_num", "result_num")
+
+
+@query("catalog_query", f"SELECT id, 'POINT' AS kind FROM ({_PARTS_AS_O}), ({_window_sql(PART_WINDOW)}) WHERE {sql_exact(Predicate.INTERSECTS, 'q', 'o')}")
+def catalog_query(spark, folder):
+    found = _catalog(spark, folder, (3,)).query("/indices/kind3", selection.QueryType.SELECTION, PART_WINDOW, Predicate.INTERSECTS)
+    return found.select("id", F.regexp_extract("geo", "^[A-Z]+", 0).alias("kind"))
+
+
+@query("catalog_changes", f"""SELECT * FROM ({SQL_DATA['part_pts']}) WHERE id NOT IN (2, 3) UNION ALL SELECT 900001, 1.0, 2.0, 3.0, 4.0 UNION ALL SELECT id + 900000, xmin, ymin, xmax, ymax + 1 FROM ({SQL_DATA['part_pts']}) WHERE id = 3""")
+def catalog_changes(spark, folder):
+    """Measured inserts, deletes and updates, some of what is not there: the live entries."""
+    c = _catalog(spark, folder, (8,))
+    path = "/indices/kind8"
+    two, three = (tuple(r)[1:] for r in c.sources[1].where("id in (2, 3)").orderBy("id").collect())
+    c.a_insert(path, 900001, (1, 2, 3, 4))
+    c.a_delete(path, 2, two)
+    c.a_delete(path, 2, two)
+    c.a_update(path, 3, three, 900003, (three[0], three[1], three[2], three[3] + 1))
+    c.a_update(path, 5, (7.0, 7.0, 7.0, 7.0), 900005, three)
+    c.insert(path, None, two)
+    return c.entries(path)
+
+
+@query("catalog_snapshots", f"SELECT idx_id AS pe_id, (SELECT count(*) FROM part) AS entries, true AS every_node_has_a_parent_entry, true AS arrays_fit, true AS averages_fit FROM {_KIND_IDX}")
+def catalog_snapshots(spark, folder):
+    """Laws that the snapshots of all kinds of trees keep."""
+    s = _catalog(spark, folder, option=2).table("snapshot")
+    nodes = F.col("num_int_nodes") + F.col("num_leaf_nodes")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return s.select(
+        "pe_id", (F.col("num_entries_leaf_nodes") + F.col("num_entries_leaf_o_nodes")).alias("entries"), (F.col("num_entries_int_nodes") == nodes - 1).alias("every_node_has_a_parent_entry"),
+        ((F.size("num_entries_pnode") == nodes + F.col("num_leaf_o_nodes")) & (F.size("dead_space_pnode") == F.size("overlap_area_pnode")) & (F.size("num_nodes_pheight") == F.col("height") + 1)).alias("arrays_fit"),
+        (F.abs(total(F.transform("num_entries_pnode", lambda x: x.cast("double"))) / F.size("num_entries_pnode") - F.col("avg_num_entries_pnode")) < 1e-9).alias("averages_fit"),
+    )
+
+
+@query("catalog_print", f"SELECT idx_id AS pe_id, id AS pointer, xmin, ymin, xmax, ymax, kind IN (3, 6, 10) AS has_hilbert_value FROM ({SQL_DATA['part_pts']}), {_KIND_IDX}")
+def catalog_print(spark, folder):
+    """Leaf entries of printed indices."""
+    p = _catalog(spark, folder, option=3).table("print_index").where("node_height = 0")
+    return p.select("pe_id", "pointer", "xmin", "ymin", "xmax", "ymax", F.col("hilbert_value").isNotNull().alias("has_hilbert_value"))
+
+
+@query("catalog_counts")
+def catalog_counts(spark, folder):
+    """What builds and queries do to the nodes, in the columns of runs."""
+    c = _catalog(spark, folder)
+    for k in _KINDS:
+        c.a_query(f"/indices/kind{k}", selection.QueryType.RANGE, PART_WINDOW, Predicate.INTERSECTS)
+    return c.table("execution").drop(*[x for x in c.table("execution").columns if x.endswith("_time")])
+
+
+@query("catalog_requests")
+def catalog_requests(spark, folder):
+    """The order of a query's requests, beside its index's device totals."""
+    c = _catalog(spark, folder, (1,))
+    c.start(trace=True)
+    c.query("/indices/kind1", selection.QueryType.RANGE, PART_WINDOW, Predicate.INTERSECTS)
+    c.store("/indices/kind1", 5)
+    return c.table("read_write_order").join(F.broadcast(c.table("flash")), "pe_id")  # one row of totals
+
+
+@query("script_of_parts", "SELECT 'INSERT INTO part (p_partkey, p_name, p_brand, p_size) VALUES (' || p_partkey || ', ''' || replace(p_name, '''', '''''') || ''', ''' || p_brand || ''', ' || p_size || ');' AS statement FROM part")
+def script_of_parts(spark, folder):
+    return schema.as_script(spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size"), "part")

@@ -8,16 +8,28 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-SOURCE = "src_id int, schema_name string, table_name string, column_name string, pk_name string"
-INDEX = "idx_id int, config_id int, idx_name string, idx_path string, idx_creation timestamp_ntz, idx_last_mod timestamp_ntz"
+_SECONDS = ("total", "index", "filter", "refinement", "retrieving_objects", "processing_predicates", "read", "write", "split")
+_MORE_SECONDS = ("flushing", "ret_node_from_buf", "write_log", "compaction_log", "recovery_log", "std_buffer_find", "std_buffer_flushing", "read_buffer_put_node", "read_buffer_get_node")
+_COUNTS = (
+    "processed_entries_num", "reinsertion_num", "cand_num", "result_num", "writes_num", "reads_num", "split_int_num", "split_leaf_num",
+    "flushing_num", "nof_unnecessary_flushed_nodes", "visited_int_nodes_num", "visited_leaf_nodes_num", "written_int_nodes_num", "written_leaf_nodes_num", "deleted_int_nodes_num", "deleted_leaf_nodes_num",
+    "mod_node_buffer_num", "new_node_buffer_num", "del_node_buffer_num", "cur_new_node_buffer_num", "cur_mod_node_buffer_num", "cur_del_node_buffer_num", "cur_buffer_size",
+    "compaction_log_num", "writes_log_num", "cur_log_size", "flushed_nodes_num", "merge_back_num", "std_buffer_page_fault", "std_buffer_page_hit", "read_buffer_page_hit", "read_buffer_page_fault",
+    "cur_read_buffer_size", "efind_force_node_in_rbuffer", "efind_write_tc_sequential", "efind_write_tc_stride", "efind_write_tc_seqstride", "efind_write_tc_filled",
+)
+#: Fixed names: the columns of a run; what was not measured is null.
 EXECUTION = (
-    "pe_id int, idx_id int, execution_name string, total_time double, total_cpu_time double, cand_num long, result_num long, query_predicate string, "
-    "reads_num long, writes_num long, split_leaf_num long, split_int_num long, reinsertion_num long, visited_nodes_num long, written_nodes_num long, deleted_nodes_num long, "
-    "mods_pheight array<struct<height:int,nofwrites:long>>, accesses_pheight array<struct<height:int,nofreads:long>>"
+    "pe_id int, idx_id int, execution_name string, query_predicate string, "
+    + "".join(f"{x}_time double, {x}_cpu_time double, " for x in _SECONDS + _MORE_SECONDS) + "".join(f"{x} long, " for x in _COUNTS)
+    + "mods_pheight array<struct<height:int,nofwrites:long>>, accesses_pheight array<struct<height:int,nofreads:long>>"
+)
+SNAPSHOT = (
+    "pe_id int, height int, num_int_nodes long, num_leaf_nodes long, num_entries_int_nodes long, num_entries_leaf_nodes long, num_nodes_pheight array<struct<height:int,n:long>>, "
+    "num_entries_pnode array<long>, coverage_area_pnode array<double>, overlap_area_pnode array<double>, dead_space_pnode array<double>, "
+    "avg_num_entries_pnode double, avg_coverage_area_pnode double, avg_overlap_area_pnode double, avg_dead_space_pnode double, "
+    "num_int_o_nodes long, num_leaf_o_nodes long, num_entries_int_o_nodes long, num_entries_leaf_o_nodes long"
 )
 TRACE = "pe_id int, rw_order int, op_type string, op_timestamp timestamp_ntz, page_id int"
-SPLIT_NAMES = ("EXPONENTIAL", "QUADRATIC", "LINEAR", "GREENE", "ANGTAN", "RSTARTREE")
-STORAGE = ("FLASH SSD", "HDD", "FLASHDBSIM")
 
 
 def parse_buffer(text: str) -> tuple[str, tuple[float, ...]]:
