@@ -107,8 +107,8 @@ def fetch(data: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return data.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def batch_query(data: DataFrame, queries: DataFrame, predicate: Predicate = Predicate.INTERSECTS, eps: float = EPSILON, refine: bool = True) -> DataFrame:
-    """Pairs (qid, id) for a table of query windows (qid, xmin, ymin, xmax, ymax).
+def batch_query(data: DataFrame, queries: DataFrame, predicate: Predicate = Predicate.INTERSECTS, eps: float = EPSILON, refine: bool = True, flag: bool = False) -> DataFrame:
+    """Pairs (qid, id) for a table of query windows (qid, xmin, ymin, xmax, ymax); with ``flag`` all candidates, and whether each is a result.
 
     Each object lies in one cell of the grid level that fits its size (the cell
     of its lower corner), each query in the cells of every level that can hold
@@ -140,10 +140,11 @@ def batch_query(data: DataFrame, queries: DataFrame, predicate: Predicate = Pred
     lv = F.col("level")
     q = q.withColumn("cx", F.explode(F.sequence(at(clip(F.col("q_xmin") - eps, x0, x1), x0, sx, lv) - 1, at(clip(F.col("q_xmax") + eps, x0, x1), x0, sx, lv))))
     q = q.withColumn("cy", F.explode(F.sequence(at(clip(F.col("q_ymin") - eps, y0, y1), y0, sy, lv) - 1, at(clip(F.col("q_ymax") + eps, y0, y1), y0, sy, lv))))
+    refine = refine and not flag
     pairs = objects.join(q, ["level", "cx", "cy"]).where(box_test(box("q_"), box(), REFINED_TEST.get(p, FILTER_TEST[p]) if refine else FILTER_TEST[p], eps))
     if refine:
         pairs = pairs.where(exact(box("q_"), box(), p))
-    return pairs.select("qid", "id")
+    return pairs.select("qid", "id", exact(box("q_"), box(), p).alias("result")) if flag else pairs.select("qid", "id")
 
 
 def covered_area(data: DataFrame) -> DataFrame:

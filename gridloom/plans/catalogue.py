@@ -388,9 +388,15 @@ def tree_snapshot(spark, folder):
     return s.withColumns({c: F.round(c, 3) for c in ("avg_coverage_area", "avg_overlap_area")})
 
 
-@query("tree_dead_space")
+@query("tree_dead_space", f"""{_tree_sql()}, e AS (SELECT DISTINCT height, node_id, x FROM (SELECT height, node_id, unnest([xmin, xmax]) AS x FROM tree)),
+slab AS (SELECT height, node_id, x, lead(x) OVER (PARTITION BY height, node_id ORDER BY x) AS x2 FROM e),
+cut AS (SELECT s.height, s.node_id, s.x, s.x2, t.ymin, t.ymax, max(t.ymax) OVER (PARTITION BY s.height, s.node_id, s.x ORDER BY t.ymin, t.ymax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+  FROM slab s JOIN tree t ON s.height = t.height AND s.node_id = t.node_id AND t.xmin <= s.x AND t.xmax >= s.x2 WHERE s.x2 IS NOT NULL),
+live AS (SELECT height, node_id, sum((x2 - x) * greatest(0, ymax - greatest(ymin, coalesce(top, ymin)))) AS area FROM cut GROUP BY height, node_id)
+SELECT height, node_id, CASE WHEN count(*) < 2 THEN 0.0 ELSE round(greatest(0.0, (max(xmax) - min(xmin)) * (max(ymax) - min(ymin)) - coalesce(any_value(area), 0.0)), 1) END AS dead_space
+FROM tree LEFT JOIN live USING (height, node_id) GROUP BY height, node_id""")
 def tree_dead_space(spark, folder):
-    return packing.dead_space(_tree(spark, folder))
+    return packing.dead_space(_tree(spark, folder)).withColumn("dead_space", F.round("dead_space", 1))
 
 
 @query("tree_range_query", f"SELECT id FROM ({_objects_sql('order_rects')}), ({_window_sql(ORDER_WINDOW)}) WHERE {sql_box(Predicate.INTERSECTS, 'q', 'o')}")
@@ -436,8 +442,49 @@ def lru_curve(spark, folder):
     return traces.lru_curve(datasets.page_trace(spark, folder), [4, 16, 64])
 
 
+#: Replays in SQL: one step for each request of a run. m: the main pages, oldest first; a: pages seen once or new ones; g: pages that left a.
+_SLOTS = 16
+
+
+def _cache_sql(policy: str) -> str:
+    room, ghosts = max(1, _SLOTS // 4), _SLOTS // 2
+    most = {"NONE": 0, "2Q": _SLOTS - room}.get(policy, _SLOTS)
+    in_m, in_a, in_g = (f"len(list_filter({x}, lambda e: e.p = page_id)) > 0" for x in "mag")
+    rest = "list_filter(m, lambda e: e.p <> page_id)"
+    full = f"NOT ({in_m}) AND len({rest}) >= {most}"
+    touched = f"list_append(CASE WHEN {full} THEN {rest}[2:] ELSE {rest} END, {{'p': page_id, 'd': w OR coalesce(list_filter(m, lambda e: e.p = page_id)[1].d, false)}})"
+    lost = f"CASE WHEN {full} AND {rest}[1].d THEN 1 ELSE 0 END"
+    entry = "{'p': page_id, 'd': w}"
+    one = "CASE WHEN w THEN 1 ELSE 0 END"
+    if policy == "NONE":
+        hit, m, a, g, writes = "false", "m", "a", "g", one
+    elif policy in ("LRU", "HLRU"):  # all requests of this trace have height 0
+        hit, m, a, g, writes = in_m, touched, "a", "g", lost
+    elif policy == "S2Q":
+        again = f"({in_m}) OR ({in_a})"
+        seen = f"list_append(a, {entry})"
+        hit, m, g = in_m, f"CASE WHEN {again} THEN {touched} ELSE m END", "g"
+        a = f"CASE WHEN {in_m} THEN a WHEN {in_a} THEN list_filter(a, lambda e: e.p <> page_id) WHEN len(a) >= {max(1, ghosts)} THEN {seen}[2:] ELSE {seen} END"
+        writes = f"CASE WHEN {again} THEN {lost} ELSE {one} END"
+    else:
+        main = f"({in_m}) OR (NOT ({in_a}) AND ({in_g}))"
+        out = f"len(a) >= {room}"
+        left = "list_append(list_filter(g, lambda e: e.p <> a[1].p), {'p': a[1].p, 'd': false})"
+        hit, m = f"({in_m}) OR ({in_a})", f"CASE WHEN {main} THEN {touched} ELSE m END"
+        a = f"CASE WHEN {main} THEN a WHEN {in_a} THEN list_transform(a, lambda e: {{'p': e.p, 'd': e.d OR (w AND e.p = page_id)}}) ELSE list_append(CASE WHEN {out} THEN a[2:] ELSE a END, {entry}) END"
+        g = f"CASE WHEN ({main}) OR ({in_a}) OR NOT ({out}) THEN g WHEN len({left}) > {ghosts} THEN {left}[2:] ELSE {left} END"
+        writes = f"CASE WHEN {main} THEN {lost} WHEN {in_a} OR NOT ({out}) THEN 0 WHEN a[1].d THEN 1 ELSE 0 END"
+    dirty = "len(list_filter(m, lambda e: e.d))" + (" + len(list_filter(a, lambda e: e.d))" if policy == "2Q" else "")
+    none = "[]::STRUCT(p INTEGER, d BOOLEAN)[]"
+    return f"""WITH RECURSIVE {_TRACE}, o AS (SELECT pe_id, rw_order AS k, page_id, op_type = 'WRITE' AS w FROM t), last AS (SELECT pe_id, max(k) AS k FROM o GROUP BY pe_id),
+s(pe_id, k, hits, writes, m, a, g) AS (SELECT pe_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, {none}, {none}, {none} FROM last
+  UNION ALL SELECT s.pe_id, o.k, hits + CASE WHEN {hit} THEN 1 ELSE 0 END, writes + {writes}, {m}, {a}, {g} FROM s JOIN o ON o.pe_id = s.pe_id AND o.k = s.k + 1)
+SELECT pe_id, '{policy}' AS policy, {_SLOTS}::INTEGER AS slots, hits, k - hits AS faults, writes + ({dirty}) AS writes, ({dirty})::BIGINT AS flushed FROM s JOIN last USING (pe_id, k)"""
+
+
 def _add_cache(policy: str) -> None:
-    QUERIES[f"cache_{policy.lower()}"] = lambda spark, folder: traces.replay(datasets.page_trace(spark, folder), policy, 16)
+    QUERIES[f"cache_{policy.lower()}"] = lambda spark, folder: traces.replay(datasets.page_trace(spark, folder), policy, _SLOTS)
+    ORACLE_SQL[f"cache_{policy.lower()}"] = _cache_sql(policy)
 
 
 for _c in traces.POLICIES:
@@ -475,31 +522,75 @@ def replayed_log(spark, folder):
     return oplog.replay(ins.unionByName(upd).unionByName(lost))
 
 
-@query("random_points")
+def _random_sql(salt: int, seed: int = 1) -> str:
+    return f"(('0x' || substr(md5(id || ':{seed}:{salt}'), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r}::DOUBLE)"
+
+
+def _axis_sql(axis: int, salt: int) -> str:
+    lo, hi = DOMAIN[axis], DOMAIN[axis + 2]
+    return f"{lo!r}::DOUBLE + round({_random_sql(salt)} * {hi - lo!r}::DOUBLE, 6)"
+
+
+def _window_size(percent: float) -> tuple[float, float]:
+    s = (percent / 100) ** 0.5
+    return (DOMAIN[2] - DOMAIN[0]) * s, (DOMAIN[3] - DOMAIN[1]) * s
+
+
+def _around_sql(source: str, x: str, y: str, percent: float) -> str:
+    w, h = _window_size(percent)
+    return f"SELECT id, {x} - {w / 2!r}::DOUBLE AS xmin, {y} - {h / 2!r}::DOUBLE AS ymin, {x} + {w / 2!r}::DOUBLE AS xmax, {y} + {h / 2!r}::DOUBLE AS ymax FROM {source}"
+
+
+_D = [f"{float(v)!r}::DOUBLE" for v in DOMAIN]
+_MEETS_DOMAIN = f"xmin <= {_D[2]} AND xmax >= {_D[0]} AND ymin <= {_D[3]} AND ymax >= {_D[1]}"
+
+
+@query("random_points", f"SELECT id, {_axis_sql(0, 1)} AS xmin, {_axis_sql(1, 2)} AS ymin, {_axis_sql(0, 1)} AS xmax, {_axis_sql(1, 2)} AS ymax, false AS is_correlated, 'random' AS dataset FROM range(100) r(id)")
 def random_points(spark, folder):
     return workloads.random_points(spark, DOMAIN, 100)
 
 
-@query("random_windows")
+@query("random_windows", f"""SELECT id, xmin, ymin, xmax, ymax, 0.1::DOUBLE AS percentage, 'window' AS type, false AS is_correlated, 'random' AS dataset
+FROM ({_around_sql('(SELECT id, ' + _axis_sql(0, 3) + ' AS cx, ' + _axis_sql(1, 4) + ' AS cy FROM range(416) r(id))', 'cx', 'cy', 0.1)})
+WHERE greatest(least(xmax, {_D[2]}) - greatest(xmin, {_D[0]}), 0) * greatest(least(ymax, {_D[3]}) - greatest(ymin, {_D[1]}), 0) > {0.2 * _window_size(0.1)[0] * _window_size(0.1)[1]!r}::DOUBLE ORDER BY id LIMIT 100""")
 def random_windows(spark, folder):
     return workloads.random_windows(spark, DOMAIN, 0.1, 100)
 
 
-@query("correlated_points")
+@query("random_points_in_region")
+def random_points_in_region(spark, folder):
+    """In a region that is no box: a triangle with a hole."""
+    return workloads.random_points(spark, REGION, 100)
+
+
+@query("correlated_points", f"""SELECT id, x AS xmin, y AS ymin, x AS xmax, y AS ymax, true AS is_correlated, 'correlated' AS dataset FROM (SELECT id, (xmin + xmax) / 2 AS x, (ymin + ymax) / 2 AS y FROM ({SQL_DATA['order_rects']}))
+WHERE x BETWEEN {_D[0]} AND {_D[2]} AND y BETWEEN {_D[1]} AND {_D[3]} ORDER BY {_random_sql(5)}, id LIMIT 100""")
 def correlated_points(spark, folder):
-    return workloads.correlated_points(datasets.load(spark, folder, "order_rects"), 100)
+    return workloads.correlated_points(datasets.load(spark, folder, "order_rects"), 100, region=DOMAIN)
+
 
+_CENTRES = f"(SELECT id, (xmin + xmax) / 2 AS x, (ymin + ymax) / 2 AS y FROM ({SQL_DATA['order_rects']}))"
 
-@query("correlated_intersection_windows")
+
+def _correlated_sql(percent: float, kind: str) -> str:
+    hit = f" AND EXISTS (SELECT 1 FROM ({SQL_DATA['order_rects']}) o WHERE q.xmin < o.xmin AND o.xmax < q.xmax AND q.ymin < o.ymin AND o.ymax < q.ymax)" if kind == "containment" else ""
+    return f"""SELECT id, xmin, ymin, xmax, ymax, {percent!r}::DOUBLE AS percentage, '{kind}' AS type, true AS is_correlated, 'correlated' AS dataset
+FROM ({_around_sql(_CENTRES, 'x', 'y', percent)}) q WHERE {_MEETS_DOMAIN}{hit} ORDER BY {_random_sql(5)}, id LIMIT 100"""
+
+
+@query("correlated_intersection_windows", _correlated_sql(0.001, "intersection"))
 def correlated_intersection_windows(spark, folder):
     return workloads.correlated_windows(datasets.load(spark, folder, "order_rects"), DOMAIN, 0.001, 100)
 
 
-@query("correlated_containment_windows")
+@query("correlated_containment_windows", _correlated_sql(0.05, "containment"))
 def correlated_containment_windows(spark, folder):
     return workloads.correlated_windows(datasets.load(spark, folder, "order_rects"), DOMAIN, 0.05, 100, containment=True)
 
 
+REGION = geometry.encode(geometry.POLYGON, [[(0, 0), (1000, 0), (0, 1000), (0, 0)], [(100, 100), (300, 100), (100, 300), (100, 100)]])
+
+
 #: Trees that are grown one insert at a time: every split, and every kind of tree.
 TREES = {i + 1: {"kind": "rtree", "least": 2, "most": 6, "split": name} for i, name in enumerate(SPLITS)} | {
     7: {"kind": "rstar", "least": 2, "most": 6}, 8: {"kind": "hilbert", "least": 2, "most": 6, "domain": (0.0, 0.0, 64.0, 2048.0)}, 9: {"kind": "overflow", "least": 2, "most": 6},

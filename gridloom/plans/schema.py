@@ -72,18 +72,32 @@ class Register:
         return self.spark.read.schema(T._parse_datatype_string(schema)).parquet(f"{self.root}/{table}")
 
     def next_id(self, table: str, schema: str, key: str) -> int:
-        return (self.read(table, schema).agg({key: "max"}).first()[0] or 0) + 1
+        """A number above all that the table has, taken for good: a marker file makes sure that no two callers get the same."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        n = (self.read(table, schema).agg({key: "max"}).first()[0] or 0) + 1
+        while True:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_ids/{table}/{n}")
+            fs = path.getFileSystem(conf)
+            fs.mkdirs(path.getParent())
+            try:
+                if fs.createNewFile(path):
+                    return n
+            except Exception as e:  # some file systems raise where the file is there
+                if not fs.exists(path):
+                    raise e
+            n += 1
 
     @contextmanager
     def run(self, name: str, idx_id: int, predicate: str = "INTERSECTS"):
-        """Measures what is inside; the caller sets counts on the yielded dict; one EXECUTION row is appended."""
+        """Measures what is inside; the caller sets counts on the yielded dict; one EXECUTION row is appended, also if the run fails."""
         row = dict.fromkeys(f.name for f in T._parse_datatype_string(EXECUTION).fields)
-        row |= {"idx_id": idx_id, "execution_name": name, "query_predicate": predicate}
+        row |= {"pe_id": self.next_id("execution", EXECUTION, "pe_id"), "idx_id": idx_id, "execution_name": name, "query_predicate": predicate}
         wall, cpu = time.monotonic(), time.process_time()
-        yield row
-        row["total_time"], row["total_cpu_time"] = time.monotonic() - wall, time.process_time() - cpu
-        row["pe_id"] = self.next_id("execution", EXECUTION, "pe_id")
-        self.append("execution", self.spark.createDataFrame([tuple(row.values())], EXECUTION))
+        try:
+            yield row
+        finally:
+            row["total_time"], row["total_cpu_time"] = time.monotonic() - wall, time.process_time() - cpu
+            self.append("execution", self.spark.createDataFrame([tuple(row.values())], EXECUTION))
 
 
 def as_script(rows: DataFrame, table: str) -> DataFrame:
