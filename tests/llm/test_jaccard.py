@@ -88,10 +88,12 @@ def test_other_keys_and_huge_sets(spark):
     assert sorted((tuple(x) for x in jaccard_groups(df, n=3, percent=90).collect()), key=repr) == brute(edge, 3, 90)
 
 
-def test_components_with_hubs(spark, monkeypatch):
+@pytest.mark.parametrize("hubs,most", [(5, 20), (1000, 200_000)])
+def test_components_with_hubs(spark, monkeypatch, hubs, most):
     import gridloom.llm.components as c
 
-    monkeypatch.setattr(c, "HUBS", 5)
+    monkeypatch.setattr(c, "HUBS", hubs)
+    monkeypatch.setattr(c, "HUB_EDGES", most)
     r = random.Random(1)
     edges = [(0, k) for k in range(1, 300)] + [(1000 + k, 1001 + k) for k in range(60)] + [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(250)] + [(7, 7), (0, 1)]
     top = {}
