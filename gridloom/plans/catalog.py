@@ -25,7 +25,7 @@ from .schema import EXECUTION, SNAPSHOT, Register, as_script, index_path, parse_
 #: Fixed codes: kinds of indices, as (tree, buffer design).
 KINDS = {
     1: ("rtree", None), 2: ("rstar", None), 3: ("hilbert", None), 4: ("rtree", "fast"), 5: ("rstar", "fast"), 6: ("hilbert", "fast"),
-    7: ("overflow", None), 8: ("rtree", "tuned"), 9: ("rstar", "tuned"), 10: ("hilbert", "tuned"),
+    7: ("overflow", "cold"), 8: ("rtree", "tuned"), 9: ("rstar", "tuned"), 10: ("hilbert", "tuned"),
 }
 _BOX = ("xmin", "ymin", "xmax", "ymax")
 _OPS = "idx_id int, seq long, op string, p long, xmin double, ymin double, xmax double, ymax double, old_p long, old_xmin double, old_ymin double, old_xmax double, old_ymax double"

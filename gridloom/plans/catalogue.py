@@ -605,6 +605,7 @@ BUFFERED = {
     for i, (base, buffer) in enumerate(
         [(b, {"design": "fast", "policy": p}) for b in _BASES for p in ("all", "random", "most", "most_and_oldest")]
         + [(b, {"design": "tuned", "value": v, "read_policy": r}) for b in _BASES for v, r in (("changes", "LRU"), ("height", "HLRU"), ("area", "S2Q"), ("overlap", "2Q"))]
+        + [({"kind": "overflow", "least": 2, "most": 6, "costs": {"write_cost": c}}, {"design": "cold", "warm": w}) for c, w in ((1.0, 0.1), (8.0, 0.5))]
     )
 }
 
@@ -714,9 +715,10 @@ def _catalog(spark, folder, kinds=_KINDS, option: int = 1) -> catalog.Catalog:
     c.add_special(1, 2, 6, domain=domain)
     c.add_special(2, 2, 6, domain=domain, buffer={"design": "fast", "policy": "most"})
     c.add_special(3, 2, 6, domain=domain, buffer={"design": "tuned", "value": "area", "read_policy": "2Q"})
+    c.add_special(4, 2, 6, domain=domain, buffer={"design": "cold"})
     c.set_execution_name("build")
     for k in kinds:
-        c.create(k, f"/indices/kind{k}", 1, 1, {None: 1, "fast": 2, "tuned": 3}[catalog.KINDS[k][1]], flush=True, option=option)
+        c.create(k, f"/indices/kind{k}", 1, 1, {None: 1, "fast": 2, "tuned": 3, "cold": 4}[catalog.KINDS[k][1]], flush=True, option=option)
     return c
 
 

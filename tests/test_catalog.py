@@ -9,6 +9,7 @@ from gridloom.functions.hilbert import domain_of_srid
 from gridloom.operators import flash, workloads
 from gridloom.operators.splits import SPLITS
 from gridloom.operators.trees import make_tree
+from gridloom.operators.write_buffers import BufferConfig, WriteBuffer
 from gridloom.plans import schema
 from gridloom.plans.catalog import KINDS, OPTIONS, Catalog, Keep
 
@@ -88,7 +89,12 @@ def test_buffered_trees_are_the_plain_ones(kind):
     """The same random operations with and without buffers: answers during, entries after."""
     base, design = KINDS[kind]
     more = {"domain": (0.0, 0.0, 100.0, 100.0)} if base == "hilbert" else {}
-    for buffer in ({"policy": "all"}, {"policy": "random", "capacity": 900}, {"policy": "most_and_oldest", "capacity": 1500}) if design == "fast" else ({"value": "overlap", "read_policy": "2Q"}, {"value": "area", "capacity": 2000}):
+    buffers = {
+        "fast": ({"policy": "all"}, {"policy": "random", "capacity": 900}, {"policy": "most_and_oldest", "capacity": 1500}),
+        "cold": ({}, {"capacity": 900, "warm": 0.5}, {"capacity": 600, "warm": 1.0}),
+        "tuned": ({"value": "overlap", "read_policy": "2Q"}, {"value": "area", "capacity": 2000}),
+    }
+    for buffer in buffers[design]:
         r = random.Random(kind)
         plain, behind = make_tree(base, 2, 5, **more), make_tree(base, 2, 5, **more, buffer={"design": design, **buffer})
         live = {}
@@ -114,6 +120,14 @@ def test_buffered_trees_are_the_plain_ones(kind):
         assert all(s.content(n)[i][:2] == s.device[n.id][i][:2] for n in behind.nodes.values() for i in range(len(n.pointers)))
 
 
+def test_cold_units_go_first():
+    b = WriteBuffer(BufferConfig(policy="cold", capacity=10_000, unit_pages=2, warm=0.5))
+    for page in (1, 2, 3, 4, 5, 6, 1, 1, 1, 5, 5, 2):
+        b.change(page)
+    assert list(b.warm) == [5, 5, 2] and b.flush() == [3, 4]  # 1 and 2 have most changes, but 2 and 5 are warm
+    assert b.flush() == [1, 2]  # no unit is cold: the first
+
+
 def test_domains_and_least_entries():
     assert domain_of_srid(3857)[0] == -20037508.3427892
     with pytest.raises(ValueError):
