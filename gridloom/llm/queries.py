@@ -91,6 +91,37 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan_secrets(read(spark, sf_dir, "documents"), repository_cols=("source", "lang"), owner_col="source")
 
 
+_LETTERS = {w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api", "key")}
+_ASSIGN = "({password}|{passwd}|{secret}|{token}|{api}_?{key})".format(**_LETTERS) + """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: Kind, its place in the order, its pattern, and characters of context that stand for it: base kinds, then further candidates.
+_SECRETS = [
+    ("assign", 0, _ASSIGN, 0), ("access", 1, "AKIA[A-Z0-9]+", 0), ("hex", 2, "[0-9a-f]{24,}", 0), ("key", 3, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+    ("provider", 4, "(?:gh[pousr]_|github_pat_|glpat-|sk_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}", 0), ("bearer", 5, "[Bb]earer ", 7),
+    ("mixed", 6, "[A-Za-z0-9+/_=-]{20,}", 0),
+]
+#: Places from what is between the matches; each further kind where no span before it is; then owners of each value.
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner, coalesce(lang, chr(0)) AS lang FROM documents),
+x AS ({" UNION ALL ".join(f"SELECT r, '{k}' AS kind, {o} AS o, {c} AS c, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS ps FROM d" for k, o, p, c in _SECRETS)}),
+y AS (SELECT r, kind, o, c, ms, ps, unnest(generate_series(1, len(ms))) AS i FROM x WHERE len(ms) > 0),
+z AS (SELECT r, kind, o, CASE WHEN c > 0 THEN regexp_extract(ps[i + 1] || coalesce(rtrim(ms[i + 1]), ''), '^[A-Za-z0-9._~+/=-]{{16,}}') ELSE ms[i] END AS m, list_sum(list_transform(ps[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda v: length(v))), 0) + c AS s FROM y),
+f AS (SELECT r, kind, o, s::BIGINT AS s, (s + length(m))::BIGINT AS e, CASE WHEN o = 0 THEN regexp_extract(m, '{_ASSIGN}', 2) ELSE m END AS v FROM z
+  WHERE CASE o WHEN 0 THEN length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6 WHEN 1 THEN length(m) >= 20 WHEN 5 THEN m <> ''
+    WHEN 6 THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND
+      list_sum(list_transform(map_values(list_aggregate(string_split(m, ''), 'histogram')), lambda n: -(n::DOUBLE / length(m)) * log2(n::DOUBLE / length(m)))) >= {secrets_scan.LEAST_ENTROPY} ELSE true END),
+f3 AS (SELECT * FROM f WHERE o < 3),
+""" + "".join(
+    f"f{o + 1} AS (SELECT * FROM f{o} UNION ALL SELECT * FROM f a WHERE o = {o} AND NOT EXISTS (SELECT 1 FROM f{o} b WHERE b.r = a.r AND b.s < a.e AND a.s < b.e)),\n" for o in range(3, 7)
+) + f"""w AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, lang)) AS repositories FROM f7 JOIN d USING (r) GROUP BY v),
+j AS (SELECT r, kind, o < 3 AS base, s, e, kind || ':' || s || ':' || e AS name, owners <= {secrets_scan.MOST_OWNERS} AND repositories <= {secrets_scan.MOST_REPOSITORIES} AS live, o FROM f7 JOIN w USING (v)),
+g AS (SELECT r, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex,
+    string_agg(name, ',' ORDER BY s, o) FILTER (WHERE base) AS bases, string_agg(name, ',' ORDER BY s, least(o, 3), e, kind) FILTER (WHERE base OR live) AS spans,
+    count(*) FILTER (WHERE live AND NOT base) AS n_added, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example FROM j GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(bases, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_added, 0) AS n_added, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (r)
+"""
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -136,4 +167,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 
 
 QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op9_toxicity": op9_toxicity, "op8_quality_rules": op8_quality_rules, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_secret_scan": op6_secret_scan, "op2_byte_bpe": op2_byte_bpe, "op3_url_filters": op3_url_filters, "op10_sharding": op10_sharding}
-ORACLE_SQL = {"op7_jaccard_join": OP7_SQL, "op10_sharding": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL}
+ORACLE_SQL = {"op6_secret_scan": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op10_sharding": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL}

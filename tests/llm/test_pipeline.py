@@ -77,3 +77,38 @@ def test_items_without_an_id_count(spark, tmp_path):
     assert sorted(tuple(x) for x in got) == sorted(con.execute(queries.OP5_SQL).fetchall())
     kept = corpus_pipeline.without_benchmark(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
     assert [x["doc_id"] for x in kept.collect()] == [2]
+
+
+def test_stages_on_nulls_repeated_rows_long_texts_and_clashing_names(spark, tmp_path):
+    r = random.Random(4)
+    text = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n))
+    one, long, passage = text(40), text(60_000), text(30)
+    names = ["k", "y", "h", "x", "quality", "row", "own", "verdict", "t", "name", "item"]
+    rows = [(1, one, "en", "s", 7)] * 3 + [(None, one, None, None, None), (2, text(50), None, "s", 0), (3, None, "en", "s", 5), (3, "", "en", None, 0), (None, None, None, None, None), (4, long, "en", "s", 1)]
+    rows += [(5, passage + " " + text(30), "en", "s", 1), (5, "too short", "en", "s", 1)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in names)
+    spark.createDataFrame([(*x, *range(len(names))) for x in rows], kinds).repartition(3).write.parquet(str(tmp_path / "in"))
+    docs, sf = spark.read.parquet(str(tmp_path / "in")), str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage), (1, passage), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def texts(df):
+        assert df.columns == docs.columns
+        return sorted((x["text"] for x in df.collect()), key=repr)
+
+    every = [x[1] for x in rows]
+    long_enough = [t for t in every if t and len(t.split()) >= 10]
+    assert texts(corpus_pipeline.keep_quality(spark, docs, sf)) == sorted(long_enough, key=repr)
+    assert texts(corpus_pipeline.one_of_each_group(spark, docs, sf)) == sorted([one] + [t for t in every if t != one], key=repr)
+    assert texts(corpus_pipeline.without_benchmark(spark, docs, sf)) == sorted([t for t in every if not (t or "").startswith(passage)], key=repr)
+    redacted = corpus_pipeline.without_personal_data(spark, docs, sf)
+    assert texts(redacted) == sorted(every, key=repr) and all(x["n_chars"] == len(x["text"]) for x in redacted.where("text is not null").collect())
+    tokens = corpus_pipeline.tokens(spark, docs, sf).collect()
+    assert sorted(((x["doc_id"], bytes(x["decoded"]).decode()) for x in tokens), key=repr) == sorted(((x[0], x[1] or "") for x in rows), key=repr)
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, kinds in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"] and got.count() == 0
