@@ -28,6 +28,8 @@ class Option(IntEnum):
 REFINED_TEST = {Predicate.CONTAINS: Predicate.CONTAINS_OR_COVERS, Predicate.COVERS: Predicate.CONTAINS_OR_COVERS}
 #: Cells a side of the finest grid, and its levels (each twice as coarse as the one before).
 GRID_CELLS, GRID_LEVELS = 64, 7
+#: Rows of queries and cells (some 60 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def _check(kind: QueryType, p: Predicate, window: tuple[float, float, float, float]) -> None:
@@ -114,32 +116,39 @@ def batch_query(data: DataFrame, queries: DataFrame, predicate: Predicate = Pred
     of its lower corner), each query in the cells of every level that can hold
     an object it meets, so the two sides meet in an equi-join whose rows are
     unique, and the box test runs on those rows only. A level has at most
-    (GRID_CELLS + 2)^2 cells, which bounds a query's rows whatever the data.
+    (GRID_CELLS + 2)^2 cells, which bounds a query's rows whatever the data. The
+    queries' cells are counted: few go to the objects, which then stay where
+    they are; many meet them in a shuffle.
     """
     p = Predicate(predicate)
     if p == Predicate.DISJOINT:
         raise ValueError("DISJOINT relates almost all pairs; take the complement of each query")
-    ends = data.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
+    w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
+    ends = data.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax"), F.min(w), F.min(h), F.max(w), F.max(h)).first()
     if ends[0] is None:
-        ends = (0.0, 0.0, 1.0, 1.0)
-    x0, y0, x1, y1 = ends
+        ends = (0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0)
+    x0, y0, x1, y1 = ends[:4]
     sx, sy = max((x1 - x0) / GRID_CELLS, 1e-9), max((y1 - y0) / GRID_CELLS, 1e-9)
+    # the levels that can occur, with one to spare on either side for rounding
+    low, high = (math.ceil(math.log2(max(1.0, a / sx, b / sy))) for a, b in (ends[4:6], ends[6:8]))
+    used = range(max(0, min(low, GRID_LEVELS - 1) - 1), min(high + 1, GRID_LEVELS - 1) + 1)
 
-    extent = F.greatest((F.col("xmax") - F.col("xmin")) / sx, (F.col("ymax") - F.col("ymin")) / sy)
+    extent = F.greatest(w / sx, h / sy)
     level = F.when(extent <= 1, 0).otherwise(F.least(F.ceil(F.log2(extent)), F.lit(GRID_LEVELS - 1))).cast("int")
 
     def at(v: Column, low: float, size: float, lv: Column) -> Column:
         return F.floor((v - low) / (size * F.pow(F.lit(2.0), lv))).cast("int")
 
     objects = data.withColumn("level", level).withColumn("cx", at(F.col("xmin"), x0, sx, F.col("level"))).withColumn("cy", at(F.col("ymin"), y0, sy, F.col("level")))
-    used = [r["level"] for r in objects.select("level").distinct().collect()]  # at most GRID_LEVELS
     q = queries.select("qid", *[F.col(c).alias(f"q_{c}") for c in Box._fields])
     q = q.where((F.col("q_xmin") <= x1 + eps) & (F.col("q_xmax") >= x0 - eps) & (F.col("q_ymin") <= y1 + eps) & (F.col("q_ymax") >= y0 - eps))
-    q = q.withColumn("level", F.explode(F.array(*[F.lit(v) for v in used]) if used else F.array().cast("array<int>")))
+    q = q.withColumn("level", F.explode(F.array(*[F.lit(v) for v in used])))
     clip = lambda v, low, high: F.least(F.greatest(v, F.lit(low)), F.lit(high))
     lv = F.col("level")
     q = q.withColumn("cx", F.explode(F.sequence(at(clip(F.col("q_xmin") - eps, x0, x1), x0, sx, lv) - 1, at(clip(F.col("q_xmax") + eps, x0, x1), x0, sx, lv))))
     q = q.withColumn("cy", F.explode(F.sequence(at(clip(F.col("q_ymin") - eps, y0, y1), y0, sy, lv) - 1, at(clip(F.col("q_ymax") + eps, y0, y1), y0, sy, lv))))
+    if q.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        q = F.broadcast(q)
     refine = refine and not flag
     pairs = objects.join(q, ["level", "cx", "cy"]).where(box_test(box("q_"), box(), REFINED_TEST.get(p, FILTER_TEST[p]) if refine else FILTER_TEST[p], eps))
     if refine:

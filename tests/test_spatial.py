@@ -133,12 +133,20 @@ def meets(w, b):
     return w[0] <= b[2] and b[0] <= w[2] and w[1] <= b[3] and b[1] <= w[3]
 
 
-def test_batch_is_every_single_query(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_batch_is_every_single_query(spark, monkeypatch, few):
+    """With the queries' cells in a shuffle, and sent to the objects."""
+    monkeypatch.setattr(selection, "BROADCAST_CELLS", few)
     data, rows = boxes(spark)
     q = [(1, 10, 10, 40, 40), (2, -5, -5, 200, 200), (3, 50, 50, 50, 50), (4, 99, 0, 300, 4), (5, 300, 300, 301, 301)]
     got = {tuple(r) for r in selection.batch_query(data, workloads.windows(spark, q)).collect()}
     assert got == {(k, i) for k, *w in q for i, *b in rows if meets(w, b)}
     assert selection.batch_query(data.limit(0), workloads.windows(spark, q)).count() == 0
+    # objects of one size only, small and large: the levels between are none's
+    for size in (1.0, 25.0):
+        same = data.withColumns({"xmax": F.col("xmin") + size, "ymax": F.col("ymin") + size})
+        got = {tuple(r) for r in selection.batch_query(same, workloads.windows(spark, q)).collect()}
+        assert got == {(k, i) for k, *w in q for i, x, y, *_ in rows if meets(w, (x, y, x + size, y + size))}
 
 
 def test_disjoint_is_the_complement(spark):
