@@ -66,6 +66,19 @@ def hilbert_array(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
     return d
 
 
+def hilbert_of(x: int, y: int, bits: int) -> int:
+    """The same for one cell."""
+    d, full = 0, 2**bits - 1
+    for i in range(bits - 1, -1, -1):
+        rx, ry = (x >> i) & 1, (y >> i) & 1
+        d = (d << 2) + ((3 * rx) ^ ry)
+        if not ry:
+            if rx:
+                x, y = full - x, full - y
+            x, y = y, x
+    return d
+
+
 def cell_of(d: int, bits: int) -> tuple[int, int]:
     """The cell at a position: the inverse of the curve."""
     x = y = 0

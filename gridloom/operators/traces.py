@@ -206,6 +206,12 @@ POLICIES: dict[str, Callable[[int], Cache]] = {
 }
 
 
+def totals(cache: Cache) -> tuple[int, int, int, int]:
+    """Hits, faults, writes and what was flushed at the end."""
+    flushed = cache.flush()
+    return cache.hits, cache.faults, cache.writes + getattr(getattr(cache, "main", None), "writes", 0), flushed
+
+
 def replay(trace: DataFrame, policy: str, slots: int) -> DataFrame:
     """Hits, faults and page writes of a policy for each pe_id; a column ``height`` is used if there is one."""
     make = POLICIES[policy]
@@ -216,9 +222,7 @@ def replay(trace: DataFrame, policy: str, slots: int) -> DataFrame:
         cache = make(slots)
         for p, op, h in zip(pdf["page_id"].tolist(), pdf["op_type"], pdf["height"].tolist()):
             cache.request(p, op == "WRITE", h)
-        flushed = cache.flush()
-        writes = cache.writes + getattr(getattr(cache, "main", None), "writes", 0)
-        return pd.DataFrame({"pe_id": [pdf["pe_id"].iloc[0]], "hits": [cache.hits], "faults": [cache.faults], "writes": [writes], "flushed": [flushed]})
+        return pd.DataFrame([(pdf["pe_id"].iloc[0], *totals(cache))], columns=["pe_id", "hits", "faults", "writes", "flushed"])
 
     t = trace.select("pe_id", "rw_order", "op_type", "page_id", high.alias("height"))
     out = t.groupBy("pe_id").applyInPandas(one, "pe_id int, hits long, faults long, writes long, flushed long")

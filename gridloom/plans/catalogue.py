@@ -638,8 +638,8 @@ FROM (VALUES {', '.join(f"({q}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in b
 def _window_counts(spark, folder, kinds: dict) -> DataFrame:
     from pyspark.sql import Window
 
-    asked = trees.run_workload(_tree_log(spark, folder, True, kinds), kinds).where("results is not null")
-    return asked.select(F.col("pe_id").alias("idx_id"), F.row_number().over(Window.partitionBy("pe_id").orderBy("rw_order")).alias("nth"), F.col("results").alias("n"))
+    asked = trees.answers(_tree_log(spark, folder, True, kinds), kinds)
+    return asked.select("idx_id", F.row_number().over(Window.partitionBy("idx_id").orderBy("seq")).alias("nth"), F.col("results").alias("n"))
 
 
 @query("grown_tree_window_counts", _counts_sql(_IDX))
@@ -662,17 +662,17 @@ def buffered_tree_entries(spark, folder):
 @query("buffered_tree_requests")
 def buffered_tree_requests(spark, folder):
     """Requests that reach the device."""
-    return trees.run_workload(_tree_log(spark, folder, True, BUFFERED), BUFFERED).where("page_id >= 0").groupBy("pe_id", "op_type", "height").agg(F.count("*").alias("requests"))
+    return trees.requests(_tree_log(spark, folder, True, BUFFERED), BUFFERED)
 
 
 @query("grown_tree_requests_per_height")
 def grown_tree_requests_per_height(spark, folder):
-    return trees.run_workload(_tree_log(spark, folder, True), TREES).groupBy("pe_id", "op_type", "height").agg(F.count("*").alias("requests"))
+    return trees.requests(_tree_log(spark, folder, True), TREES)
 
 
 @query("grown_tree_cache")
 def grown_tree_cache(spark, folder):
-    return traces.replay(trees.run_workload(_tree_log(spark, folder, True), TREES), "HLRU", 16)
+    return trees.cached(_tree_log(spark, folder, True), TREES, "HLRU", 16)
 
 
 @query("split_report")

@@ -4,9 +4,11 @@ import math
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators import oplog, tuned_buffers, write_buffers
+from gridloom.operators import oplog, splits, traces, trees, tuned_buffers, write_buffers
+from gridloom.plans import catalogue
 
 
 def _sequential(rows):
@@ -107,3 +109,41 @@ def test_a_flush_looks_at_each_waiting_page_once():
     b.flush_all()
     assert b.device_writes == 20_000
     assert time.process_time() - start < 15
+
+
+def _log(spark, n=400):
+    rng = random.Random(9)
+    rows = [(k, "INSERT", k, x, y, x, y) for k in range(n) for x, y in [(float(rng.randrange(50)), float(rng.randrange(2000)))]]
+    rows += [(r[0] + 1000, "DELETE", *r[2:]) for r in rows if r[0] % 8 == 3] + [(5000 + k, "QUERY", k, 5.0 * k, 0.0, 5.0 * k + 9, 900.0) for k in range(5)]
+    log = spark.createDataFrame(rows, "seq long, op string, p long, xmin double, ymin double, xmax double, ymax double")
+    return lambda kinds: log.withColumn("idx_id", F.explode(F.array(*[F.lit(i) for i in kinds])))
+
+
+def test_runs_without_their_traces(spark):
+    """Counts, answers and cache totals of a run, made as its requests come, are those of its trace."""
+    log = _log(spark)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    trees_, buffered = {k: catalogue.TREES[k] for k in (2, 7, 8, 9)}, {k: catalogue.BUFFERED[k] for k in (1, 8, 11, 16, 25)}
+    for kinds in (trees_, buffered):
+        trace = trees.run_workload(log(kinds), kinds).cache()
+        asked = trace.where("page_id >= 0").groupBy("pe_id", "op_type", "height").count()
+        assert rows(trees.requests(log(kinds), kinds)) == rows(asked)
+        assert rows(trees.answers(log(kinds), kinds)) == rows(trace.where("results is not null").select("pe_id", "seq", "results"))
+        if kinds is trees_:
+            assert rows(trees.cached(log(kinds), kinds, "HLRU", 16)) == rows(traces.replay(trace, "HLRU", 16))
+        trace.unpersist()
+
+
+def test_each_index_is_a_task(spark):
+    kinds = {k: catalogue.TREES[2] for k in range(3, 11)}
+    got = trees.answers(_log(spark, 40)(kinds), kinds).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 40 and len({(r["idx_id"], r["task"]) for r in got}) == len({r["task"] for r in got}) == 8
+
+
+def test_splits_take_lists():
+    rng = random.Random(2)
+    for _ in range(50):
+        boxes = [(x, y, x + rng.randrange(3), y + rng.randrange(3)) for x, y in [(float(rng.randrange(5)), float(rng.randrange(5))) for _ in range(7)]]
+        for split in splits.SPLITS.values():
+            a, b = split(boxes, 2)
+            assert (a, b) == split(np.array(boxes), 2) and sorted([*a, *b]) == list(range(7)) and min(len(a), len(b)) >= 2
