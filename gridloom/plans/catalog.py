@@ -12,6 +12,7 @@ import time
 from dataclasses import dataclass, field
 from enum import IntFlag
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,9 @@ class Catalog:
         self.kept_name: str | None = None
         self.run: Run | None = None
         self.tables: dict[str, list[DataFrame]] = {}
+        #: Stored runs and snapshots whose indices are still to be replayed, all in one job when their tables are asked for.
+        self.waiting: list[tuple[Index, int, int, dict]] = []
+        self.drawn: list[tuple[Index, int, bool, int]] = []
         self.pe = 0
         self.scripts: list[DataFrame] = []
 
@@ -140,6 +144,8 @@ class Catalog:
             raise ValueError(f"configuration {sc_id} is for {design or 'no'} buffers, an index of kind {kind} has {KINDS[kind][1] or 'none'}")
         idx = self.process(path, src_id, bc_id, sc_id, buf_id)
         now = time.time()
+        if path in self.indices:  # what is stored of the one that was there
+            self._replay()
         self.indices[path] = Index(idx, kind, path, src_id, bc_id, sc_id, buf_id, now, now)
         return True
 
@@ -206,7 +212,9 @@ class Catalog:
         return True
 
     def log(self, path: str) -> DataFrame:
-        index = self._index(path)
+        return self._log(self._index(path))
+
+    def _log(self, index: Index) -> DataFrame:
         out = self.spark.createDataFrame(index.rows, _OPS)
         for b in index.batches:
             out = out.unionByName(b)
@@ -268,15 +276,13 @@ class Catalog:
         self.pe += 1
         pe = self.pe
         wall, cpu = time.monotonic() - run.wall, time.process_time() - run.cpu
-        log = self.log(path)
-        nodes = trees.measures(log, {index.idx_id: self.tree_config(index)}, run.since).first()
         row = dict.fromkeys(f.name for f in T._parse_datatype_string(EXECUTION).fields)
         row |= {"pe_id": pe, "idx_id": index.idx_id, "execution_name": self.kept_name or self.name, "query_predicate": "INTERSECTS", "total_time": wall, "total_cpu_time": cpu, "cand_num": 0, "result_num": 0}
-        if nodes is not None:
-            row |= {k: v for k, v in nodes.asDict(recursive=True).items() if k in row and k != "idx_id"}
         row |= run.counts
         self.kept_name = None
-        self._keep("execution", self.spark.createDataFrame([tuple(row.values())], EXECUTION), location)
+        self.waiting.append((index, run.since, self.seq, row))
+        if location == 2:
+            self._replay(2)
         if keep & Keep.SNAPSHOT:
             self.snapshot(path, pe, bool(keep & Keep.PRINT), location)
         if run.trace or keep & Keep.DEVICE:
@@ -289,6 +295,44 @@ class Catalog:
                 self._keep("flash", flash.simulate(trace, device, self.basics[index.bc_id]["page_size"]), location)
         return pe
 
+    def _replay(self, location: int = 1) -> None:
+        """Counts what the runs that wait do to their indices, and draws the snapshots: each index is replayed once for all its runs, side by side with the others."""
+        if self.waiting:
+            waiting, self.waiting = self.waiting, []
+            runs: dict[int, list[tuple[int, int, int]]] = {}
+            for index, since, until, row in waiting:
+                runs.setdefault(index.idx_id, []).append((row["pe_id"], since, until))
+            log, configs = self._logs([w[0] for w in waiting])
+            # a row for each run of an index that has operations
+            nodes = {r["pe_id"]: r.asDict(recursive=True) for r in trees.measures_of_runs(log, configs, runs).collect()}
+            known = {f.name for f in T._parse_datatype_string(EXECUTION).fields} - {"pe_id", "idx_id", "cand_num", "result_num"}
+            rows = [row | {k: v for k, v in nodes.get(row["pe_id"], {}).items() if k in known} for *_, row in waiting]
+            for r in [rows] if location == 1 else [[r] for r in rows]:
+                self._keep("execution", self.spark.createDataFrame([tuple(x.values()) for x in r], EXECUTION), location if r is rows or r[0] is rows[-1] else 1)
+        if self.drawn:
+            drawn, self.drawn = self.drawn, []
+            log, configs = self._logs([d[0] for d in drawn])
+            marks: dict[int, list[tuple[int, int]]] = {}
+            for index, pe, _, until in drawn:
+                marks.setdefault(index.idx_id, []).append((pe, until))
+            # read many times below: kept on the executors' disks
+            nodes = trees.grow_at(log.where("op <> 'QUERY'"), configs, marks).localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+            for index, pe, with_print, _ in drawn:
+                self._draw(nodes.where(F.col("idx_id") == pe), index, pe, with_print, 1)
+
+    def _logs(self, indices: list[Index]) -> tuple[DataFrame, dict[int, dict]]:
+        """The logs of some indices as one, and their trees' configurations."""
+        each = {i.idx_id: i for i in indices}
+        out = None
+        for i in each.values():
+            out = self._log(i) if out is None else out.unionByName(self._log(i))
+        return out, {k: self.tree_config(i) for k, i in each.items()}
+
+    def _draw(self, nodes: DataFrame, index: Index, pe_id: int, with_print: bool, location: int) -> None:
+        self._keep("snapshot", structure(nodes, pe_id), location)
+        if with_print:
+            self._keep("print_index", printed(nodes, pe_id, self.tree_config(index).get("domain") if KINDS[index.kind][0] == "hilbert" else None), location)
+
     def _keep(self, table: str, rows: DataFrame, location: int) -> None:
         self.tables.setdefault(table, []).append(rows)
         if location == 2:
@@ -296,6 +340,7 @@ class Catalog:
             self.scripts.append(as_script(flat, table))
 
     def table(self, name: str) -> DataFrame | None:
+        self._replay()
         parts = self.tables.get(name)
         if not parts:
             return None
@@ -305,6 +350,7 @@ class Catalog:
         return out
 
     def save(self, root: str) -> None:
+        self._replay()
         r = Register(self.spark, root)
         for name in self.tables:
             r.append(name, self.table(name))
@@ -319,10 +365,12 @@ class Catalog:
         if pe_id > self.pe:
             raise ValueError(f"no run {pe_id}")
         index = self._index(path)
-        nodes = trees.grow(self.log(path).where("op <> 'QUERY'"), {index.idx_id: self.tree_config(index)})
-        self._keep("snapshot", structure(nodes, pe_id), location)
-        if print_index:
-            self._keep("print_index", printed(nodes, pe_id, self.tree_config(index).get("domain") if KINDS[index.kind][0] == "hilbert" else None), location)
+        if location == 2:
+            self._replay()
+            nodes = trees.grow(self.log(path).where("op <> 'QUERY'"), {index.idx_id: self.tree_config(index)})
+            self._draw(nodes.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY), index, pe_id, print_index, 2)
+        else:
+            self.drawn.append((index, pe_id, print_index, self.seq))
         return True
 
     def a_query(self, path: str, kind: int, window: BoxTuple, predicate: int, option: int = 1, store: int = 1) -> int:

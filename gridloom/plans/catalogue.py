@@ -757,6 +757,7 @@ def catalog_changes(spark, folder):
     c.a_update(path, 3, three, 900003, (three[0], three[1], three[2], three[3] + 1))
     c.a_update(path, 5, (7.0, 7.0, 7.0, 7.0), 900005, three)
     c.insert(path, None, two)
+    c.table("execution")  # the runs are counted too, though only the entries are returned
     return c.entries(path)
 
 

@@ -7,8 +7,11 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators import oplog, splits, traces, trees, tuned_buffers, write_buffers
+from gridloom.functions.predicates import Predicate
+from gridloom.operators import flash, oplog, splits, traces, trees, tuned_buffers, write_buffers
+from gridloom.operators.selection import QueryType
 from gridloom.plans import catalogue
+from gridloom.plans.catalog import Catalog
 
 
 def _sequential(rows):
@@ -147,3 +150,38 @@ def test_splits_take_lists():
         for split in splits.SPLITS.values():
             a, b = split(boxes, 2)
             assert (a, b) == split(np.array(boxes), 2) and sorted([*a, *b]) == list(range(7)) and min(len(a), len(b)) >= 2
+
+
+def test_stored_runs_are_replayed_in_one_job(spark, monkeypatch):
+    """Runs and snapshots of all indices wait for their tables, and come from one replay of each log."""
+    calls = []
+    for name in ("measures_of_runs", "grow_at"):
+        real = getattr(trees, name)
+        monkeypatch.setattr(trees, name, lambda *a, real=real, name=name: (calls.append(name), real(*a))[1])
+    c = Catalog(spark)
+    c.add_source(1, spark.createDataFrame([(k, float(k % 7), float(k), float(k % 7), float(k)) for k in range(60)], "id long, xmin double, ymin double, xmax double, ymax double"))
+    c.add_basic(1, 4096)
+    c.add_special(1, 2, 6)
+    for path in ("/a", "/b"):
+        c.create(1, path, 1, 1, 1, option=2)
+    c.a_insert("/a", 1000, (1, 1, 2, 2), 2)
+    c.a_query("/b", QueryType.RANGE, (0.0, 0.0, 3.0, 20.0), Predicate.INTERSECTS)
+    assert not calls
+    got = {r["pe_id"]: r for r in c.table("execution").collect()}
+    s = {r["pe_id"]: r["num_entries_leaf_nodes"] for r in c.table("snapshot").collect()}
+    assert sorted(calls) == ["grow_at", "measures_of_runs"] and sorted(got) == [1, 2, 3, 4] and s == {1: 60, 2: 60, 3: 61}
+    for pe, path, since in ((1, "/a", 1), (3, "/a", 121), (4, "/b", 122)):
+        index = c.indices[path]
+        log = c.log(path).where(F.col("seq") <= {1: 60, 3: 121, 4: 122}[pe])
+        alone = trees.measures(log, {index.idx_id: c.tree_config(index)}, since).first()
+        assert all(got[pe][x] == alone[x] for x in ("reads_num", "writes_num", "split_leaf_num", "mods_pheight", "accesses_pheight"))
+
+
+def test_wear_levelling_of_many_blocks():
+    """Thousands of blocks that were never erased, beside few that are written all the time, are moved one after the other."""
+    d = flash.Device(flash.DeviceConfig(blocks=3000, pages_per_block=2, wear_gap=4))
+    for page in range(5800):
+        d.write(page)
+    for k in range(6000):
+        d.write(k % 20)
+    assert d.live_pages() == 5800 and max(d.erases) - min(d.erases) <= 6
