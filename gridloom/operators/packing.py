@@ -85,17 +85,29 @@ def node_overlap(tree: DataFrame) -> DataFrame:
 
 def dead_space(tree: DataFrame) -> DataFrame:
     """For each node, the area of its box that no entry covers; 0 below two entries."""
-    import pandas as pd
+    from itertools import groupby, islice
 
-    from ..functions.sweep import union_area
+    import numpy as np
+    import pyarrow as pa
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy()
-        whole = (b[:, 2].max() - b[:, 0].min()) * (b[:, 3].max() - b[:, 1].min())
-        dead = max(0.0, whole - union_area(b)) if len(b) > 1 else 0.0
-        return pd.DataFrame({"height": [pdf["height"].iloc[0]], "node_id": [pdf["node_id"].iloc[0]], "dead_space": [dead]})
+    from ..functions.sweep import union_area
 
-    return tree.groupBy("height", "node_id").applyInPandas(one, "height int, node_id long, dead_space double")
+    def one(b: list[tuple]) -> float:
+        if len(b) < 2:
+            return 0.0
+        x0, y0, x1, y1 = zip(*b)
+        return max(0.0, (max(x1) - min(x0)) * (max(y1) - min(y0)) - float(union_area(np.array(b))))
+
+    def run(batches):
+        # the rows of a node follow each other; a group for each node would cost more than its area does
+        rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns]))
+        found = ((*key, one([r[2:] for r in part])) for key, part in groupby(rows, key=lambda r: r[:2]))
+        while some := list(islice(found, 10_000)):
+            h, n, d = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int32()), pa.array(n, pa.int64()), pa.array(d, pa.float64())], ["height", "node_id", "dead_space"])
+
+    nodes = tree.select("height", "node_id", "xmin", "ymin", "xmax", "ymax").repartition("height", "node_id").sortWithinPartitions("height", "node_id")
+    return nodes.mapInArrow(run, "height int, node_id long, dead_space double")
 
 
 def structure_snapshot(tree: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions.predicates import Predicate
-from gridloom.operators import flash, oplog, splits, traces, trees, tuned_buffers, write_buffers
+from gridloom.operators import flash, oplog, packing, splits, traces, trees, tuned_buffers, write_buffers
 from gridloom.operators.selection import QueryType
 from gridloom.plans import catalogue
 from gridloom.plans.catalog import Catalog
@@ -185,3 +185,11 @@ def test_wear_levelling_of_many_blocks():
     for k in range(6000):
         d.write(k % 20)
     assert d.live_pages() == 5800 and max(d.erases) - min(d.erases) <= 6
+
+
+def test_dead_space_of_many_nodes(spark, monkeypatch):
+    """Nodes that lie across batches, each computed once, and no pandas group for each."""
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandas", None)
+    rows = [(k % 2, k, float(j), float(k % 5), float(j) + 1 + k % 3, float(k % 5) + 1) for k in range(12_000) for j in (0, 4)] + [(0, 99_999, 0.0, 0.0, 2.0, 2.0)]
+    got = {(r["height"], r["node_id"]): r["dead_space"] for r in packing.dead_space(spark.createDataFrame(rows, "height int, node_id long, xmin double, ymin double, xmax double, ymax double")).collect()}
+    assert got == {(k % 2, k): float(4 + 1 + k % 3 - 2 * (1 + k % 3)) for k in range(12_000)} | {(0, 99_999): 0.0}
