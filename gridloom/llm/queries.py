@@ -142,8 +142,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.v = d.doc_id LEFT JOIN l ON l
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return quality.quality(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels")))
+    return quality.fit_and_judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
