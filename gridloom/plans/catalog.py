@@ -285,14 +285,13 @@ class Catalog:
             self._replay(2)
         if keep & Keep.SNAPSHOT:
             self.snapshot(path, pe, bool(keep & Keep.PRINT), location)
-        if run.trace or keep & Keep.DEVICE:
-            trace = self._trace(path).withColumn("pe_id", F.lit(pe))
-            if run.trace:
-                of_run = trace.where(F.col("seq") >= run.since)
-                self._keep("read_write_order", of_run.select("pe_id", F.row_number().over(Window.partitionBy("pe_id").orderBy("rw_order")).alias("rw_order"), "op_type", "page_id"), location)
-            if keep & Keep.DEVICE:  # the device's totals since the index is there
-                device = self.basics[index.bc_id]["device"] or flash.DeviceConfig()
-                self._keep("flash", flash.simulate(trace, device, self.basics[index.bc_id]["page_size"]), location)
+        if run.trace:
+            of_run = self._trace(path, run.since).withColumn("pe_id", F.lit(pe))
+            self._keep("read_write_order", of_run.select("pe_id", F.row_number().over(Window.partitionBy("pe_id").orderBy("rw_order")).alias("rw_order"), "op_type", "page_id"), location)
+        if keep & Keep.DEVICE:  # the device's totals since the index is there
+            device = self.basics[index.bc_id]["device"] or flash.DeviceConfig()
+            totals = trees.device_totals(self.log(path), {index.idx_id: self.tree_config(index)}, device, self.basics[index.bc_id]["page_size"])
+            self._keep("flash", totals.withColumn("pe_id", F.lit(pe)), location)
         return pe
 
     def _replay(self, location: int = 1) -> None:
@@ -356,9 +355,10 @@ class Catalog:
             r.append(name, self.table(name))
         self.tables.clear()
 
-    def _trace(self, path: str) -> DataFrame:
+    def _trace(self, path: str, since: int = 0) -> DataFrame:
+        """The requests of the operations from number ``since`` on."""
         index = self._index(path)
-        return trees.run_workload(self.log(path), {index.idx_id: self.tree_config(index)}).where("page_id >= 0")
+        return trees.run_workload(self.log(path), {index.idx_id: self.tree_config(index)}, since).where("page_id >= 0")
 
     def snapshot(self, path: str, pe_id: int, print_index: bool = False, location: int = 1) -> bool:
         """The structure of the index as it is, for a run that is stored."""
