@@ -58,7 +58,7 @@ def test_jvm_trees_are_the_python_ones(spark, monkeypatch, kinds):
 
 
 #: Queries whose trees are grown without a Python worker.
-NATIVE = ["buffered_tree_entries", "grown_tree_entries", "grown_tree_window_counts", "buffered_tree_window_counts"]
+NATIVE = ["buffered_tree_entries", "grown_tree_entries", "grown_tree_window_counts", "buffered_tree_window_counts", "buffered_tree_requests"]
 
 
 @pytest.mark.parametrize("name", NATIVE)
